@@ -19,7 +19,7 @@ from veilframe.functions.retention import NONE, STANDARD, Retention, split, spli
 from veilframe.functions.text import (
     accept, empty, fenced, let, matches_everywhere_in, matches_in, pieces, pieces_everywhere, resolve_overlaps,
 )
-from veilframe.operators.rules import BUILTIN_RULES, Rule
+from veilframe.operators.rules import BUILTIN_RULES, HAN, Rule
 
 CANDIDATE = "struct<start:int,end:int,rule_ord:int,rule_id:string,category:string,value:string>"
 ITEM = ("struct<start:int,end:int,rule_ord:int,rule_id:string,category:string,value:string,"
@@ -27,18 +27,27 @@ ITEM = ("struct<start:int,end:int,rule_ord:int,rule_id:string,category:string,va
 ITEM_COLUMNS = ["start", "end", "rule_ord", "rule_id", "category", "value", "head", "tail"]
 
 
-def possible(text: Column, rule: Rule) -> Column | None:
+GATES = {"digit": "[0-9]", "han": HAN}
+
+
+def gates_of(text: Column) -> dict[str, Column]:
+    return {name: text.rlike(regex) for name, regex in GATES.items()}
+
+
+def possible(text: Column, rule: Rule, gates: dict[str, Column]) -> Column | None:
     """A cheap test that every text with a match passes, or None."""
     words = [F.contains(text, F.lit(word)) for word in rule.needs]
-    tests = [reduce(lambda a, b: a | b, words)] if words else []
+    tests = [gates[rule.gate]] if rule.gate else []
+    if words:
+        tests.append(reduce(lambda a, b: a | b, words))
     if rule.hint is not None:
         tests.append(text.rlike(rule.hint))
     return reduce(lambda a, b: a & b, tests) if tests else None
 
 
-def rule_pieces(text: Column, rule: Rule) -> Column:
+def rule_pieces(text: Column, rule: Rule, gates: dict[str, Column] | None = None) -> Column:
     parts = pieces_everywhere(text, *rule.forms) if rule.checked else pieces(text, rule.regex)
-    test = possible(text, rule)
+    test = possible(text, rule, gates or gates_of(text))
     return parts if test is None else F.when(test, parts).otherwise(empty("string"))
 
 
@@ -55,9 +64,9 @@ def candidates(text: Column, rules: Iterable[Rule]) -> Column:
     """
     active = [(n, r) for n, r in enumerate(rules) if r.enabled]
 
-    def walked(text: Column, chosen: list[tuple[int, Rule]], walk) -> Column:
+    def walked(text: Column, gates: dict[str, Column], chosen: list[tuple[int, Rule]], walk) -> Column:
         cut = F.array(*[F.struct(F.lit(n).alias("rule_ord"), F.lit(r.id).alias("rule_id"),
-                                 F.lit(r.category).alias("category"), rule_pieces(text, r).alias("parts"))
+                                 F.lit(r.category).alias("category"), rule_pieces(text, r, gates).alias("parts"))
                         for n, r in chosen])
         tagged = F.transform(F.filter(cut, lambda c: F.size(c["parts"]) > 1), lambda c: F.transform(
             walk(c), lambda s: F.struct(
@@ -74,18 +83,20 @@ def candidates(text: Column, rules: Iterable[Rule]) -> Column:
 
         return verdict
 
-    def both(t: Column) -> Column:
+    def both(row: Column) -> Column:
+        t, gates = row["text"], {name: row[name] for name in GATES}
         plain = [(n, r) for n, r in active if not r.checked]
         checked = [(n, r) for n, r in active if r.checked]
         found = []
         if plain:
-            found.append(walked(t, plain, lambda c: matches_in(c["parts"])))
+            found.append(walked(t, gates, plain, lambda c: matches_in(c["parts"])))
         if checked:
-            found.append(walked(t, checked, lambda c: accept(
+            found.append(walked(t, gates, checked, lambda c: accept(
                 matches_everywhere_in(c["parts"]), verdict_of(c, checked))))
         return F.concat(*found)
 
-    return let(fenced(text), both) if active else empty(CANDIDATE)
+    gated = let(fenced(text), lambda t: F.struct(t.alias("text"), *[g.alias(n) for n, g in gates_of(t).items()]))
+    return let(gated, both) if active else empty(CANDIDATE)
 
 
 def retention_of(category: Column, rule_id: Column, rules: Iterable[Rule], mode: str,

@@ -28,9 +28,10 @@ class Rule:
 
     ``check(value, before)`` returns a Column with the valid leading length.
     ``label`` must stand right in front of a match but is not part of it;
-    ``more`` lists further (label, regex) forms of the same rule. ``needs`` and
-    ``hint`` only save work: every text with a match contains one of the
-    substrings ``needs`` and matches the regex ``hint``.
+    ``more`` lists further (label, regex) forms of the same rule. ``gate``,
+    ``needs`` and ``hint`` only save work: every text with a match has a
+    ``digit`` / a ``han`` character, contains one of the substrings ``needs``
+    and matches the regex ``hint``. Gates are tested once for all rules.
     """
 
     id: str
@@ -47,6 +48,7 @@ class Rule:
     label: str = ""
     more: tuple[tuple[str, str], ...] = ()
     needs: tuple[str, ...] = ()
+    gate: str | None = None
 
     @property
     def forms(self) -> list[tuple[str, str]]:
@@ -63,40 +65,40 @@ class Rule:
 HAN = f"[{fv.CJK}]"
 
 BUILTIN_RULES: list[Rule] = [
-    Rule("zh-name", "中文姓名", "姓名", fv.NAME, "王小明、歐陽志遠", group="tw", source="builtin",
-         check=checks.name, hint=HAN),
-    Rule("tw-id", "台灣身分證字號", "身分證", fv.TW_ID, "A123456789", group="tw", source="builtin",
+    Rule("zh-name", "中文姓名", "姓名", fv.NAME, "王小明、歐陽志遠", group="tw", source="builtin", gate="han",
+         check=checks.name),
+    Rule("tw-id", "台灣身分證字號", "身分證", fv.TW_ID, "A123456789", group="tw", source="builtin", gate="digit",
          check=checks.tw_id, hint=r"[A-Z][12]\d{8}"),
     # In front of the landline: a labelled SSN of nine bare digits also reads as a landline.
     Rule("us-ssn", "美國社會安全碼（SSN）", "SSN", fv.SSN, "123-45-6789、SSN: 123456789", group="intl",
-         source="builtin", check=checks.ssn, hint=r"\d{3}[- ]?\d{2}[- ]?\d{4}",
+         source="builtin", gate="digit", check=checks.ssn, hint=r"\d{3}[- ]?\d{2}[- ]?\d{4}",
          more=((fv.SSN_LABEL, fv.SSN_BARE),)),
     Rule("tw-mobile", "手機號碼", "手機", fv.MOBILE, "0912-345-678、0912345678、+886-912-345-678", group="tw",
-         source="builtin", hint=r"\d{3}[- ]?\d{3}"),
+         source="builtin", gate="digit", hint=r"\d{3}[- ]?\d{3}"),
     Rule("tw-landline", "市話號碼", "市話", fv.LANDLINE,
-         "(02)2712-3456、02-27123456、0227123456、037-123456、+886-2-2712-3456", group="tw", source="builtin",
+         "(02)2712-3456、02-27123456、0227123456、037-123456、+886-2-2712-3456", group="tw", source="builtin", gate="digit",
          hint=r"\d{3}[- ]?\d{3}"),
-    Rule("tw-address", "台灣地址", "地址", fv.ADDRESS, "台北市信義區市府路45號8樓", group="tw", source="builtin",
-         hint=HAN, needs=("號",)),
+    Rule("tw-address", "台灣地址", "地址", fv.ADDRESS, "台北市信義區市府路45號8樓", group="tw", source="builtin", gate="han",
+         needs=("號",)),
     Rule("tw-company", "公司／組織名稱", "公司", fv.COMPANY, "築夢實業股份有限公司、大安聯合診所", group="tw",
-         source="builtin", hint=HAN),
-    Rule("tw-tax-id", "統一編號", "統編", fv.TAX_ID, "統一編號 04595257", group="tw", source="builtin",
+         source="builtin", gate="han"),
+    Rule("tw-tax-id", "統一編號", "統編", fv.TAX_ID, "統一編號 04595257", group="tw", source="builtin", gate="digit",
          check=checks.tax_id, hint=r"\d{8}"),
     Rule("email", "電子郵件", "電子郵件", fv.EMAIL, "someone@example.com", group="intl", source="builtin", needs=("@",)),
     # Behind the Taiwanese rules, which keep the +886 numbers both match.
     Rule("intl-phone", "國際電話", "國際電話", fv.INTL_PHONE, "+1 (415) 867-5309、+44 20 7946 0958、(416) 967-1111",
-         group="intl", source="builtin", check=checks.phone, hint=r"\+[1-9]|\d{3}\)?[-.\x20]?\d{3}[-.\x20]\d{4}"),
+         group="intl", source="builtin", gate="digit", check=checks.phone, hint=r"\+[1-9]|\d{3}\)?[-.\x20]?\d{3}[-.\x20]\d{4}"),
     Rule("credit-card", "信用卡號", "信用卡", fv.CARD, "4242 4242 4242 4242、3782 822463 10005", group="intl",
-         source="builtin", check=checks.card, hint=r"\d(?:[\x20-]?\d){12}"),
+         source="builtin", gate="digit", check=checks.card, hint=r"\d(?:[\x20-]?\d){12}"),
     Rule("iban", "IBAN 國際銀行帳號", "IBAN", fv.IBAN, "GB82 WEST 1234 5698 7654 32、DE89370400440532013000",
-         group="intl", source="builtin", check=checks.iban, hint=r"[A-Z]{2}\d{2}\x20?[A-Z0-9]{4}"),
-    Rule("ipv4", "IPv4 位址", "IP", fv.IPV4, "192.168.1.10", group="intl", source="builtin",
+         group="intl", source="builtin", gate="digit", check=checks.iban, hint=r"[A-Z]{2}\d{2}\x20?[A-Z0-9]{4}"),
+    Rule("ipv4", "IPv4 位址", "IP", fv.IPV4, "192.168.1.10", group="intl", source="builtin", gate="digit",
          hint=r"\d\.\d{1,3}\.\d{1,3}\.\d"),
     Rule("ipv6", "IPv6 位址", "IP", fv.IPV6, "2001:db8::1", group="intl", source="builtin", check=checks.ipv6,
          hint=r":[0-9A-Fa-f]{0,4}:[0-9A-Fa-f:]"),
     Rule("dob", "出生日期", "生日", fv.BIRTH_DATE,
          "DOB: 1985-03-14、Date of Birth: March 14, 1985、出生日期：民國 80 年 5 月 1 日", group="intl",
-         source="builtin", check=checks.birth_date, hint=r"\d[-/.年\s]|\d(?:st|nd|rd|th)",
+         source="builtin", gate="digit", check=checks.birth_date, hint=rf"\d(?:st|nd|rd|th)?,?[-/.年\x20]|\d{fv.WS}*年",
          needs=("DOB", "D.O.B", "irth", "orn", "生"), label=fv.BIRTH_LABEL),
 ]
 
