@@ -32,7 +32,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
     Both sides meet only inside a block of one document.
     """
     l = blocked(left.select(key, "start", "end").distinct())
-    r = blocked(right.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")))
+    r = blocked(right.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e")
     hit = l.join(r, [key, "_block"]).where((F.col("start") < F.col("_e")) & (F.col("end") > F.col("_s")))
     return hit.select(key, "start", "end").distinct()
 
@@ -40,7 +40,7 @@ def overlapping(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
 def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     """The (key, start, end) of ``inner`` that lie wholly inside some span of ``outer``."""
     i = inner.select(key, "start", "end").distinct().withColumn("_block", F.floor(F.col("start") / BLOCK_CHARS))
-    o = blocked(outer.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")))
+    o = blocked(outer.select(key, F.col("start").alias("_s"), F.col("end").alias("_e")), "_s", "_e")
     hit = i.join(o, [key, "_block"]).where((F.col("start") >= F.col("_s")) & (F.col("end") <= F.col("_e")))
     return hit.select(key, "start", "end").distinct()
 
