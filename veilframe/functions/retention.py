@@ -19,7 +19,7 @@ RETENTION = "struct<mode:string,head:int,tail:int,delimiter:string,side:string>"
 MODES = list(fv.MODE_LABELS)
 
 
-@dataclass(frozen=True)
+@dataclass(frozen=True, order=True)
 class Retention:
     """Driver-side form of one retention setting."""
 

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # Private-use characters that fence a match while a text is being cut up.
@@ -17,7 +17,7 @@ FENCES = OPEN + SHUT + MID
 
 # Arrays are walked in blocks, so that appending to a result copies at most one
 # block and a text with very many matches stays close to linear.
-BLOCK = 256
+BLOCK = 64
 
 SPAN = "struct<start:int,end:int,value:string>"
 MATCH = "struct<start:int,end:int,value:string,before:string>"
@@ -70,7 +70,21 @@ def scan(items: Column, carry: Column, step: Callable[[Column, Column], Column],
 
 def fenced(text: Column) -> Column:
     """The text to scan: same length, free of the fence characters."""
-    return F.when(text.rlike(f"[{FENCES}]"), F.translate(text, FENCES, STAND_IN * len(FENCES))).otherwise(text)
+    return let(text, lambda t: F.when(
+        t.rlike(f"[{FENCES}]"), F.translate(t, FENCES, STAND_IN * len(FENCES))).otherwise(t))
+
+
+def each(df: DataFrame, array: Column | str, *keys: str, name: str = "one", position: str | None = None) -> DataFrame:
+    """One row per array element.
+
+    The outer form is used on purpose: for the plain one the optimizer adds a
+    filter on the array's size, which computes an expensive array once more.
+    """
+    if position is not None:
+        rows = df.select(*keys, F.posexplode_outer(array).alias(position, name))
+    else:
+        rows = df.select(*keys, F.explode_outer(array).alias(name))
+    return rows.where(F.col(name).isNotNull())
 
 
 def pieces(text: Column, regex: str) -> Column:
@@ -207,7 +221,12 @@ def resolve_overlaps(spans: Column, element_type: str) -> Column:
                    finish=lambda carry, out: F.array_append(out, carry["island"]))
         return F.flatten(F.transform(cut, best))
 
-    return let(F.array_sort(spans), lambda xs: F.when(F.size(xs) > 1, islands(xs)).otherwise(xs))
+    def crowded(xs: Column) -> Column:
+        """Whether some span begins before the one in front of it ends."""
+        return F.exists(F.zip_with(xs, F.slice(xs, F.lit(2), F.size(xs)), lambda a, b: a["end"] > b["start"]), lambda x: x)
+
+    return let(F.array_sort(spans), lambda xs: F.when(
+        F.size(xs) > 1, F.when(crowded(xs), islands(xs)).otherwise(xs)).otherwise(xs))
 
 
 def cut_gaps(text: Column, spans: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilframe.functions.text import each
 from veilframe.operators.detect import find
 from veilframe.operators.restore import marker_table, restore
 from veilframe.operators.review import contained
@@ -16,7 +17,7 @@ def residue(docs: DataFrame, key: str, items: str = "items", redacted: str = "re
     """Values of a document that still stand in its own redacted text (whole values only)."""
     left = F.filter(F.array_distinct(F.transform(items, lambda i: i["value"])),
                     lambda v: F.contains(F.col(redacted), v))
-    return docs.select(key, F.explode(left).alias("value"))
+    return each(docs, left, key, name="value")
 
 
 def broken_round_trips(docs: DataFrame, mapping: DataFrame, key: str, text: str = "text",

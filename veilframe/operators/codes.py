@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.functions.fixed_values import CODE_LENGTH
-from veilframe.functions.text import empty, let
+from veilframe.functions.text import each, empty, let
 from veilframe.operators.detect import ITEM_COLUMNS, item_table
 from veilframe.operators.lookup import lookup
 from veilframe.session import materialize
@@ -99,7 +99,7 @@ def code_per_document(docs: DataFrame, key: str, secret: str, items: str = "item
 # ------------------------------------------------------------ shared scopes
 def item_keys(docs: DataFrame, scope: Column, items: str = "items") -> DataFrame:
     """The distinct (scope, category, head, tail, value), combined before the shuffle."""
-    found = docs.select(scope.cast("string").alias("scope"), F.explode(items).alias("item"))
+    found = each(docs.withColumn("scope", scope.cast("string")), items, "scope", name="item")
     return found.select("scope", *[F.col("item")[k].alias(k) for k in KEY]).distinct()
 
 
@@ -190,7 +190,7 @@ def code_shared(docs: DataFrame, key: str, secret: str, scope: Column | None = N
     if other.isEmpty():
         return plain, book
 
-    used = docs.select(F.col(key), scope.cast("string").alias("scope"), F.explode(items).alias("item")).select(
+    used = each(docs.withColumn("scope", scope.cast("string")), items, key, "scope", name="item").select(
         key, "scope", *[F.col("item")[k].alias(k) for k in KEY]).distinct()
     patches = lookup(used, other, ["scope", *KEY]).where("code is not null").groupBy(key).agg(
         F.collect_list(F.struct(F.struct(*KEY).alias("key"), F.col("code").alias("code"))).alias("_patch"))

@@ -9,15 +9,16 @@ move the text.
 from __future__ import annotations
 
 from collections.abc import Iterable
-from functools import reduce
+from functools import lru_cache, reduce
 
+from pyspark import SparkContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions.fixed_values import MARKER as MARKER_PATTERN
 from veilframe.functions.retention import NONE, STANDARD, Retention, split, split_for
 from veilframe.functions.text import (
-    accept, empty, fenced, let, matches_everywhere_in, matches_in, pieces, pieces_everywhere, resolve_overlaps,
+    accept, each, empty, fenced, let, matches_everywhere_in, matches_in, pieces, pieces_everywhere, resolve_overlaps,
 )
 from veilframe.operators.rules import BUILTIN_RULES, HAN, Rule
 
@@ -142,8 +143,16 @@ def items_of(text: Column, rules: Iterable[Rule] | None = None, mode: str = "hid
 def detect(docs: DataFrame, rules: Iterable[Rule] | None = None, text: str = "text", mode: str = "hide",
            overrides: dict[str, Retention] | None = None, into: str = "items") -> DataFrame:
     """Add an ``items`` array column to documents (null texts have no items)."""
-    found = items_of(F.coalesce(F.col(text), F.lit("")), rules, mode, overrides)
-    return docs.withColumn(into, found)
+    chosen = tuple(BUILTIN_RULES if rules is None else rules)
+    return docs.withColumn(into, _items_column(
+        SparkContext._active_spark_context, text, chosen, mode, tuple(sorted((overrides or {}).items()))))
+
+
+@lru_cache(maxsize=64)
+def _items_column(context: SparkContext, text: str, rules: tuple[Rule, ...], mode: str,
+                  overrides: tuple[tuple[str, Retention], ...]) -> Column:
+    """The detection expression; built once per session, rule set and mode, as it has many nodes."""
+    return items_of(F.coalesce(F.col(text), F.lit("")), rules, mode, dict(overrides))
 
 
 def resplit(docs: DataFrame, rules: Iterable[Rule] | None = None, mode: str = "hide",
@@ -154,14 +163,14 @@ def resplit(docs: DataFrame, rules: Iterable[Rule] | None = None, mode: str = "h
 
 def item_table(docs: DataFrame, *keys: str, items: str = "items") -> DataFrame:
     """One row per item: the document keys and the item's fields."""
-    return docs.select(*keys, F.explode(items).alias("item")).select(*keys, "item.*")
+    return each(docs, items, *keys, name="item").select(*keys, "item.*")
 
 
 def find(docs: DataFrame, rule: Rule, *keys: str, text: str = "text") -> DataFrame:
     """Matches of a single rule, one row each (also the way to try out a rule)."""
     hits = let(fenced(F.coalesce(F.col(text), F.lit(""))), lambda t: let(
         rule_pieces(t, rule), lambda parts: accepted(parts, rule)))
-    return docs.select(*keys, F.explode(hits).alias("hit")).select(*keys, "hit.*")
+    return each(docs, hits, *keys, name="hit").select(*keys, "hit.*")
 
 
 def has_markers(text: Column) -> Column:

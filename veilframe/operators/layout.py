@@ -182,7 +182,7 @@ def scrub_dictionary(dictionary: DataFrame, cells: DataFrame, key: str) -> DataF
 
 def column_number(letters: Column) -> Column:
     """``A`` -> 1, ``AA`` -> 27."""
-    return F.aggregate(F.split(F.upper(letters), r"(?!^)(?!\z)"), F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64)
+    return F.aggregate(F.split(F.upper(letters), ""), F.lit(0), lambda n, c: n * 26 + F.ascii(c) - 64)
 
 
 def cell_position(ref: Column) -> Column:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.functions.retention import hidden_part, kept_prefix, kept_suffix, preview, rendered
-from veilframe.functions.text import splice
+from veilframe.functions.text import each, splice
 from veilframe.operators.detect import ITEM_COLUMNS, item_table
 
 STYLES = ("code", "label", "blank")
@@ -52,14 +52,15 @@ def mapping_of(items: Column) -> Column:
 
 def mapping_per_document(docs: DataFrame, key: str, items: str = "items") -> DataFrame:
     """Mapping rows of every document (``scope`` = the document), without a shuffle."""
-    rows = docs.select(F.col(key).cast("string").alias("scope"), F.posexplode(mapping_of(F.col(items))).alias("n", "m"))
+    rows = each(docs.withColumn("scope", F.col(key).cast("string")), mapping_of(F.col(items)), "scope", name="m", position="n")
     return rows.select("scope", (F.col("n") + 1).alias("line_no"), "m.*")
 
 
 def mapping_shared(docs: DataFrame, key: str, scope: Column | None = None, items: str = "items") -> DataFrame:
     """One row per code of a shared scope, with the place of its first use for ordering."""
     scope = F.lit("shared") if scope is None else scope
-    rows = docs.select(scope.cast("string").alias("scope"), F.col(key).alias("first_doc"), F.explode(items).alias("i"))
+    named = docs.select(scope.cast("string").alias("scope"), F.col(key).alias("first_doc"), items)
+    rows = each(named, items, "scope", "first_doc", name="i")
     entries = rows.select("scope", "first_doc", F.col("i")["start"].alias("first_start"), mapping_entry(F.col("i")).alias("m"))
     place = F.min(F.struct("first_doc", "first_start")).alias("place")
     return entries.select("scope", "m.*", "first_doc", "first_start").groupBy(

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed_values as fv
-from veilframe.functions.text import fenced, find_all, let
+from veilframe.functions.text import each, fenced, find_all, let
 from veilframe.operators.lookup import lookup
 from veilframe.operators.redact import apply_edits
 
@@ -24,7 +24,7 @@ def markers_of(text: Column) -> Column:
 
 
 def marker_table(docs: DataFrame, *keys: str, text: str = "redacted") -> DataFrame:
-    return docs.select(*keys, F.explode(markers_of(F.col(text))).alias("m")).select(*keys, "m.*")
+    return each(docs, markers_of(F.col(text)), *keys, name="m").select(*keys, "m.*")
 
 
 def matched_markers(docs: DataFrame, mapping: DataFrame, key: str, text: str = "redacted",
@@ -34,7 +34,7 @@ def matched_markers(docs: DataFrame, mapping: DataFrame, key: str, text: str = "
     The category in a marker is not compared: the code alone decides.
     """
     scope = F.col(key) if scope is None else scope
-    marks = docs.select(F.col(key), scope.cast("string").alias("scope"), F.explode(markers_of(F.col(text))).alias("m"))
+    marks = each(docs.withColumn("scope", scope.cast("string")), markers_of(F.col(text)), key, "scope", name="m")
     table = mapping.select(F.col("scope").cast("string").alias("scope"), "code", "original")
     return lookup(marks.select(key, "scope", "m.*"), table, ["scope", "code"])
 

@@ -9,6 +9,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
+from veilframe.session import spread
+
 TABLES = ("region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels "
           "conversations").split()
 
@@ -17,6 +19,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents, read by all cores also where they lie in one file."""
+    return spread(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
 def _digit(s: str, i: int) -> str:
     return f"cast(substr({s}, {i}, 1) as int)"
 
@@ -124,7 +131,7 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """A derived input as a DataFrame."""
     sql = SQL[name]
     used = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
-    return spark.sql(sql, **used)
+    return spread(spark.sql(sql, **used))
 
 
 def derived_sql(name: str) -> str:

@@ -9,7 +9,7 @@ from veilframe.functions import checks
 from veilframe.functions import fixed_values as fv
 from veilframe.functions.confusables import fix_lookalikes
 from veilframe.functions.numbering_plan import NANP_AREA
-from veilframe.functions.text import find_everywhere, fenced
+from veilframe.functions.text import each, fenced, find_everywhere
 from veilframe.operators.detect import (
     candidates, detect, find, has_markers, item_table,
 )
@@ -162,7 +162,7 @@ _cands = (f"select id, start_pos, start_pos + length(value) as end_pos, 0 as rul
 def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Matches of two custom rules before overlaps are resolved, counted per text."""
     docs = messages(spark, sf_dir)
-    found = docs.select("id", F.explode(candidates(F.col("text"), WORD_RULES)).alias("c"))
+    found = each(docs, candidates(F.col("text"), WORD_RULES), "id", name="c")
     return found.groupBy("id").agg(F.count(F.lit(1)).alias("candidates"),
                                    F.sum(F.col("c")["end"] - F.col("c")["start"]).alias("characters"))
 
@@ -192,7 +192,7 @@ def resolve_overlaps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
 def match_everywhere(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The match at every position where one begins, with the characters in front."""
     lines = derived(spark, sf_dir, "card_lines").select("id", "text")
-    return lines.select("id", F.explode(find_everywhere(fenced(F.col("text")), ("", r"\d{5}"))).alias("m")).select(
+    return each(lines, find_everywhere(fenced(F.col("text")), ("", r"\d{5}")), "id", name="m").select(
         "id", F.col("m")["start"].cast("long").alias("start_pos"), F.col("m")["value"].alias("value"),
         F.col("m")["before"].alias("before"))
 

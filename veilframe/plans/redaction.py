@@ -11,6 +11,7 @@ from veilframe.functions.numbering_plan import NANP_AREA
 from veilframe.functions.retention import (
     STANDARD, Retention, describe, lint, modes_for, split_for,
 )
+from veilframe.functions.text import each
 from veilframe.operators import audit, reports
 from veilframe.operators.codes import allocate, mapping_conflicts
 from veilframe.operators.detect import candidates, detect, item_table, resplit
@@ -18,7 +19,7 @@ from veilframe.operators.redact import mapping_per_document, merge_mappings, pre
 from veilframe.operators.restore import missing_codes, restore, restore_report
 from veilframe.operators.rules import builtin_rules, custom_rule
 from veilframe.plans import oracle as o
-from veilframe.plans.derived import derived, derived_sql, table
+from veilframe.plans.derived import derived, derived_sql, table, texts
 from veilframe.plans.detection import WORD_RULES, _cands, as_items, messages
 from veilframe.plans.pipelines import deidentify, deidentify_shared, deidentify_with_mapping
 from veilframe.sources.mapping import checked_mapping, mapping_csv_text
@@ -44,7 +45,7 @@ BLANK = f"regexp_replace({o.hidden()}, '[\\p{{L}}\\p{{N}}]', '○', 'g')"
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All rules, standard partial retention, codes per document: redacted text and item counts."""
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir)
     done = deidentify(docs, "doc_id", mode="standard", secret=SECRET)
     return done.select("doc_id", F.size("items").alias("n_items"),
                        F.array_join(F.array_sort(F.array_distinct(F.col("items")["category"])), ",").alias("categories"),
@@ -81,7 +82,7 @@ def redact_custom_retention(spark: SparkSession, sf_dir: str) -> DataFrame:
 def preview_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """On-screen form of every item."""
     docs = detect(messages(spark, sf_dir), mode="standard")
-    return docs.select("id", F.explode("items").alias("i")).select(
+    return each(docs, "items", "id", name="i").select(
         "id", F.col("i")["start"].cast("long").alias("start_pos"), previewed(F.col("i")).alias("shown"))
 
 
@@ -97,7 +98,7 @@ def resplit_codes(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = detect(messages(spark, sf_dir))
     hidden = code_per_document(found, "id", SECRET)
     both = code_per_document(resplit(hidden.withColumn("old", F.col("items")), mode="standard"), "id", SECRET)
-    pairs = both.select("id", F.explode(F.arrays_zip("old", "items")).alias("z"))
+    pairs = each(both, F.arrays_zip("old", "items"), "id", name="z")
     return pairs.select("id", F.col("z.old.start").cast("long").alias("start_pos"),
                         F.col("z.old.code").alias("code_hidden"), F.col("z.items.code").alias("code_partial"))
 
@@ -339,7 +340,7 @@ def audit_residue(spark: SparkSession, sf_dir: str) -> DataFrame:
 def audit_overlap(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Overlaps among candidates that were not resolved."""
     docs = messages(spark, sf_dir)
-    raw = docs.select("id", F.explode(candidates(F.col("text"), WORD_RULES)).alias("c")).select("id", "c.*")
+    raw = each(docs, candidates(F.col("text"), WORD_RULES), "id", name="c").select("id", "c.*")
     return audit.overlaps(raw, "id").select("id", F.col("start").cast("long").alias("start_pos"), F.col("end").cast("long").alias("end_pos"))
 
 

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.operators import evaluate
-from veilframe.plans.derived import table
+from veilframe.plans.derived import table, texts
 
 QUERIES: dict = {}
 
@@ -25,7 +25,7 @@ _read = "select doc_id, unnest(string_split(regexp_replace(replace(replace(text,
 
 
 def _pair(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = texts(spark, sf_dir)
     read = docs.withColumn("text", F.replace(F.replace("text", F.lit("z"), F.lit("")), F.lit("e"), F.lit("ee")))
     return docs, read
 
