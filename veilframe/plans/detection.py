@@ -133,7 +133,12 @@ def detect_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_items(item_table(detect(messages(spark, sf_dir)), "id"), "id")
 
 
-@query("detect_record_items", None)
+_rec = derived_sql("record_lines")
+
+
+@query("detect_record_items", " union all ".join(
+    f"select id, strpos(text, {c}) - 1 as start_pos, strpos(text, {c}) - 1 + length({c}) as end_pos, '{n}' as category, {c} as value from {_rec} as {c}_rows"
+    for c, n in (("nm", "姓名"), ("mob", "手機"), ("tel", "市話"), ("addr", "地址"), ("comp", "公司"))))
 def detect_record_items(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All built-in rules over the Chinese records: the longest of overlapping matches wins."""
     return as_items(item_table(detect(derived(spark, sf_dir, "record_lines").select("id", "text")), "id"), "id")
