@@ -6,19 +6,20 @@ not listed is reported as not covered; callers can pass a wider plan.
 ``0?`` stands where people write the trunk prefix after the calling code.
 """
 
-# Assigned North American area codes by first digit (US, Canada, Caribbean,
-# toll-free); the exchange that follows never starts with 0 or 1.
+# Assigned North American codes by first digit: geographic (US, Canada, Caribbean,
+# Pacific), toll-free, premium and personal numbers. The exchange that follows
+# never starts with 0 or 1. 523 and 524 are assigned except for their exchange 555.
 NANP_AREA = (
-    "(?:2(?:0[1-9]|1[02-9]|2[03-9]|3[1345679]|4[02689]|5[0-46]|6[02-49]|7[0269]|8[1349])"
-    "|3(?:0[1-9]|1[02-9]|2[0135679]|3[0-24679]|4[013567]|5[0-47]|6[0-9]|8[026])"
-    "|4(?:0[1-9]|1[02-9]|2[3-58]|3[01234578]|4[01235789]|5[08]|6[3489]|7[0-5789]|8[04])"
-    "|5(?:0[1-9]|1[02-9]|20|3[0149]|4[018]|5[179]|6[1-47]|7[0-59]|8[0-2567])"
-    "|6(?:0[1-9]|1[02-9]|2[0236-9]|3[0169]|4[0156789]|5[016789]|6[0-24579]|7[0128]|8[0-46-9])"
-    "|7(?:0[1-9]|1[2-9]|2[0-1478]|3[0-247]|4[0237]|5[3478]|6[0235679]|7[0-58]|8[0124567])"
-    "|8(?:0[0-9]|1[02-9]|2[0589]|3[0-389]|4[0-58]|5[04-9]|6[02-9]|7[0236789]|8[8])"
-    "|9(?:0[0-9]|1[02-9]|2[0589]|3[0145-9]|4[0-35789]|5[12469]|7[0-389]|8[034569]))"
+    "(?:2(?:0[1-9]|1[02-9]|2[03-9]|3[14569]|4[02689]|5[0-46]|6[0234789]|7[02469]|8[1349])"
+    "|3(?:0[1-9]|1[02-9]|2[013-79]|3[0-24679]|4[013567]|5[0-47]|6[013-5789]|8[0256])"
+    "|4(?:0[1-9]|1[02-9]|2[3-58]|3[0124578]|4[0-3578]|5[08]|6[3489]|7[0234589]|8[04])"
+    "|5(?:0[0-9]|1[02-9]|2[0-25-9]|3[01349]|4[0148]|5[179]|6[1-467]|7[0-579]|8[0-24-8])"
+    "|6(?:0[1-9]|1[02-9]|2[034689]|3[0169]|4[015679]|5[016789]|6[0-2479]|7[0128]|8[0-4689])"
+    "|7(?:0[1-9]|1[02-9]|2[014-8]|3[0-247]|4[0237]|5[3478]|6[023579]|7[0-589]|8[0124-7])"
+    "|8(?:0[0-9]|1[02-9]|2[015689]|3[0-3589]|4[03-5789]|5[04-9]|6[02-9]|7[0236-9]|88)"
+    "|9(?:0[0-9]|1[02-9]|2[0589]|3[0146-9]|4[0-35789]|5[12469]|7[0-389]|8[03-69]))"
 )
-NANP = rf"{NANP_AREA}[2-9]\d{{6}}"
+NANP = rf"(?:{NANP_AREA}[2-9]\d{{6}}|52[34](?:[2-46-9]\d{{2}}|5(?:[0-46-9]\d|5[0-46-9]))\d{{4}})"
 
 NUMBERING_PLAN = {
     "1": NANP,

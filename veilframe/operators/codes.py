@@ -23,7 +23,7 @@ from veilframe.functions.fixed_values import CODE_LENGTH
 from veilframe.functions.text import each, empty, let
 from veilframe.operators.detect import ITEM_COLUMNS, item_table
 from veilframe.operators.lookup import lookup
-from veilframe.session import materialize
+from veilframe.session import fits, materialize
 
 KEY = ["category", "head", "tail", "value"]
 KEY_TYPE = "struct<category:string,head:int,tail:int,value:string>"
@@ -105,16 +105,13 @@ def item_keys(docs: DataFrame, scope: Column, items: str = "items") -> DataFrame
 
 def mapping_keys(mapping: DataFrame) -> DataFrame:
     """Keys and codes of an imported mapping table; the first row of a key wins."""
-    first = Window.partitionBy("scope", *KEY).orderBy("line_no")
-    return _seeded(mapping).withColumn("_rn", F.row_number().over(first)).where("_rn = 1").drop("_rn", "line_no")
+    return _seeded(mapping).groupBy("scope", *KEY).agg(F.min_by("code", "line_no").alias("code"))
 
 
 def mapping_conflicts(mapping: DataFrame) -> DataFrame:
     """Values an imported table lists under more than one code: the code kept and the code ignored."""
-    per_key = Window.partitionBy("scope", *KEY).orderBy("line_no").rowsBetween(
-        Window.unboundedPreceding, Window.unboundedFollowing)
-    ranked = _seeded(mapping).withColumn("kept_code", F.first("code").over(per_key))
-    return ranked.where(F.col("code") != F.col("kept_code")).select(
+    kept = mapping_keys(mapping).withColumnRenamed("code", "kept_code")
+    return lookup(_seeded(mapping), kept, ["scope", *KEY]).where(F.col("code") != F.col("kept_code")).select(
         "scope", "category", "value", "kept_code", F.col("code").alias("ignored_code"))
 
 
@@ -135,23 +132,26 @@ def allocate(keys: DataFrame, secret: str, imported: DataFrame | None = None) ->
     """
     ids = ["scope", *KEY]
     columns = [*ids, "code"]
-    taken, settled = None, []
+    open_keys, taken, settled = materialize(keys.select(*ids), "keys"), None, []
     if imported is not None:
         known = materialize(mapping_keys(imported).select(*columns), "known-codes")
-        taken = imported.select("scope", "code").distinct()
-        settled.append(lookup(keys, known, ids).where("code is not null").select(*columns))
-        keys = lookup(keys, known, ids).where("code is null").select(*ids)
+        taken = materialize(imported.select("scope", "code").distinct(), "taken-codes")
+        seen = materialize(lookup(open_keys, known, ids), "seen-keys")
+        settled.append(seen.where("code is not null").select(*columns))
+        open_keys = seen.where("code is null").select(*ids)
 
-    full = keys.groupBy("scope").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CODES_PER_SCOPE)
-    open_keys = materialize(keys, "open-keys")
-    if not full.isEmpty():
-        raise ValueError(f"a scope has more than {CODES_PER_SCOPE} values to code")
+    wanted = open_keys.select("scope") if taken is None else open_keys.select("scope").unionByName(taken.select("scope"))
+    if not wanted.groupBy("scope").count().where(F.col("count") > CODES_PER_SCOPE).isEmpty():
+        raise ValueError(f"a scope needs more than {CODES_PER_SCOPE} codes")
 
     for attempt in range(ATTEMPTS):
         tried = open_keys.withColumn("code", hashed_code(secret, F.col("scope"), F.struct(*KEY), attempt))
         if taken is not None:
-            clash = taken.withColumn("_used", F.lit(True))
-            tried = tried.join(clash, ["scope", "code"], "left")
+            # After the first round few keys are open: only their codes are looked for among those taken.
+            clash = taken
+            if fits(open_keys):
+                clash = taken.join(F.broadcast(tried.select("scope", "code").distinct()), ["scope", "code"], "left_semi")
+            tried = tried.join(clash.distinct().withColumn("_used", F.lit(True)), ["scope", "code"], "left")
         else:
             tried = tried.withColumn("_used", F.lit(None).cast("boolean"))
         order = Window.partitionBy("scope", "code").orderBy(*KEY)

@@ -142,17 +142,26 @@ def items_of(text: Column, rules: Iterable[Rule] | None = None, mode: str = "hid
 
 def detect(docs: DataFrame, rules: Iterable[Rule] | None = None, text: str = "text", mode: str = "hide",
            overrides: dict[str, Retention] | None = None, into: str = "items") -> DataFrame:
-    """Add an ``items`` array column to documents (null texts have no items)."""
+    """Add an ``items`` array column to documents (null texts have no items).
+
+    The steps are columns of their own, so that the analyzer never meets one
+    very deep expression; the optimizer joins them again.
+    """
     chosen = tuple(BUILTIN_RULES if rules is None else rules)
-    return docs.withColumn(into, _items_column(
-        SparkContext._active_spark_context, text, chosen, mode, tuple(sorted((overrides or {}).items()))))
+    found, kept, cut = _steps(SparkContext._active_spark_context, text, chosen, mode, tuple(sorted((overrides or {}).items())))
+    steps = docs.withColumn(_FOUND, found).withColumn(_KEPT, kept)
+    return steps.withColumn(into, cut).drop(_FOUND, _KEPT)
+
+
+_FOUND, _KEPT = "_candidates", "_spans"
 
 
 @lru_cache(maxsize=64)
-def _items_column(context: SparkContext, text: str, rules: tuple[Rule, ...], mode: str,
-                  overrides: tuple[tuple[str, Retention], ...]) -> Column:
-    """The detection expression; built once per session, rule set and mode, as it has many nodes."""
-    return items_of(F.coalesce(F.col(text), F.lit("")), rules, mode, dict(overrides))
+def _steps(context: SparkContext, text: str, rules: tuple[Rule, ...], mode: str,
+           overrides: tuple[tuple[str, Retention], ...]) -> tuple[Column, Column, Column]:
+    """The expressions of detection; built once per session, rule set and mode, as they have many nodes."""
+    found = candidates(F.coalesce(F.col(text), F.lit("")), rules)
+    return found, resolve_overlaps(F.col(_FOUND), CANDIDATE), with_split(F.col(_KEPT), rules, mode, dict(overrides))
 
 
 def resplit(docs: DataFrame, rules: Iterable[Rule] | None = None, mode: str = "hide",

@@ -39,10 +39,11 @@ def redact_table(table: DataFrame, rules: Iterable[Rule] | None = None, style: s
     chosen = list(columns) if columns is not None else [c for c in text_columns(table) if c != key]
     if style == "code" and (key is None or secret is None):
         raise ValueError("style 'code' needs a key column and a secret")
-    out = {}
-    for name in chosen:
-        items = items_of(F.coalesce(F.col(name), F.lit("")), rules, mode, overrides)
-        if style == "code":
-            items = coded_in_row(items, F.concat_ws("/", F.col(key).cast("string"), F.lit(name)), secret)
-        out[name] = F.when(F.col(name).isNotNull(), redacted_text(F.col(name), items, style))
-    return table.withColumns(out)
+    at = {c: f"_items_{n}" for n, c in enumerate(chosen)}
+    # One step after the other keeps each expression shallow enough for the analyzer.
+    out = table.withColumns({at[c]: items_of(F.coalesce(F.col(c), F.lit("")), rules, mode, overrides) for c in chosen})
+    if style == "code":
+        scope = lambda c: F.concat_ws("/", F.col(key).cast("string"), F.lit(c))
+        out = out.withColumns({at[c]: coded_in_row(F.col(at[c]), scope(c), secret) for c in chosen})
+    done = out.withColumns({c: F.when(F.col(c).isNotNull(), redacted_text(F.col(c), F.col(at[c]), style)) for c in chosen})
+    return done.select(*table.columns)

@@ -4,9 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window
 
-from veilframe.functions.fixed_values import KEPT_HEADERS, MAPPING_HEADERS
+from veilframe.functions.fixed_values import KEPT_HEADERS, MANIFEST_HEADERS, MAPPING_HEADERS
+from veilframe.operators.lookup import lookup
 
 BOM = chr(0xFEFF)
 
@@ -71,9 +71,10 @@ def checked_mapping(rows: DataFrame, scope: str = "scope") -> tuple[DataFrame, D
     row stays.
     """
     code = F.trim(F.coalesce(F.col("code"), F.lit("")))
-    first = Window.partitionBy(scope, "code").orderBy("line_no")
-    judged = rows.withColumn("code", code).withColumn("error", F.when(F.col("code") == "", "empty_code").when(
-        F.row_number().over(first) > 1, "duplicate_code"))
+    trimmed = rows.withColumn("code", code)
+    firsts = trimmed.groupBy(scope, "code").agg(F.min("line_no").alias("_first"))
+    judged = lookup(trimmed, firsts, [scope, "code"]).withColumn("error", F.when(F.col("code") == "", "empty_code").when(
+        F.col("line_no") != F.col("_first"), "duplicate_code")).select(*rows.columns, "error")
     return judged.where("error is null").drop("error"), judged.where("error is not null").select(
         scope, "line_no", "code", "error")
 
@@ -89,8 +90,7 @@ def strict_mapping(rows: DataFrame, scope: str = "scope") -> DataFrame:
 
 def manifest_csv(rows: DataFrame, order: str, with_mapping: bool = True) -> DataFrame:
     """Manifest rows as ordered CSV lines (line_no, line), header first."""
-    from veilframe.functions.fixed_values import MANIFEST_HEADERS as h
-
+    h = MANIFEST_HEADERS
     partial = not rows.where("partial").isEmpty()
     names = [h[0], h[1], *([h[2]] if with_mapping else []), h[3], *([h[4]] if partial else [])]
     fields = [F.col("source"), F.col("output"), *([F.col("mapping")] if with_mapping else []),
