@@ -6,7 +6,6 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed_values as fv
-from veilframe.functions.text import each, let
 
 # Fullwidth ASCII forms and the ideographic space count as their plain forms.
 _WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + chr(0x3000)
@@ -17,15 +16,9 @@ GRID = 512.0
 def characters(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The multiset of characters of every document, white space left out: (key, ch, n)."""
     narrow = F.when(F.col(text).rlike(r"[\x{ff01}-\x{ff5e}\x{3000}]"), F.translate(F.col(text), _WIDE, _PLAIN)).otherwise(F.col(text))
-    plain = F.regexp_replace(narrow, F.lit(fv.WS), F.lit(""))
-
-    def counted(p: Column) -> Column:
-        """Counted inside the row: one entry per distinct character leaves it."""
-        different = F.when(p == "", F.array().cast("array<string>")).otherwise(F.array_distinct(F.split(p, "")))
-        return F.transform(different, lambda c: F.struct(
-            c.alias("ch"), (F.length(p) - F.length(F.replace(p, c, F.lit("")))).cast("long").alias("n")))
-
-    return each(docs, let(plain, counted), key, name="c").groupBy(key, "c.ch").agg(F.sum("c.n").alias("n"))
+    # Counting in the scan task first leaves one row per document and distinct character.
+    counts = docs.select(key, F.explode(F.split(narrow, "")).alias("ch")).groupBy(key, "ch").agg(F.count(F.lit(1)).alias("n"))
+    return counts.where((F.col("ch") != "") & ~F.col("ch").rlike(fv.WS))
 
 
 def character_scores(truth: DataFrame, read: DataFrame, key: str, text: str = "text") -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import evaluate
 from veilframe.plans.derived import table, texts
+from veilframe.session import spread
 
 QUERIES: dict = {}
 
@@ -65,7 +66,7 @@ _found_values = f"""
 
 def _values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = F.col("l_partkey")
-    base = table(spark, sf_dir, "lineitem").select(
+    base = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")).select(
         F.col("l_orderkey").alias("page"), p.alias("n"),
         F.when(p % 3 == 0, "printed").when(p % 3 == 1, "handwritten").otherwise("manual").alias("kind"),
         F.when(p % 2 == 0, "統編").otherwise("識別碼").alias("category"),
