@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from veilframe.operators import evaluate
 from veilframe.plans.derived import table, texts
-from veilframe.session import spread
+from veilframe.session import materialize
 
 QUERIES: dict = {}
 
@@ -66,7 +66,7 @@ _found_values = f"""
 
 def _values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     p = F.col("l_partkey")
-    base = spread(table(spark, sf_dir, "lineitem").select("l_orderkey", "l_partkey")).select(
+    base = table(spark, sf_dir, "lineitem").select(
         F.col("l_orderkey").alias("page"), p.alias("n"),
         F.when(p % 3 == 0, "printed").when(p % 3 == 1, "handwritten").otherwise("manual").alias("kind"),
         F.when(p % 2 == 0, "統編").otherwise("識別碼").alias("category"),
@@ -75,7 +75,9 @@ def _values(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
     value = (F.when(n == 1, F.concat(F.left("value", F.lit(7)), F.lit("x"))).when(
         n == 2, F.concat(F.lit("new"), F.left("value", F.lit(1)))).otherwise(F.col("value")))
     found = base.where("n % 5 <> 0").select("page", "category", value.alias("value")).distinct()
-    return base.select("page", "kind", "category", "value").distinct(), found
+    truth = base.select("page", "kind", "category", "value").distinct()
+    # Both are read several times; kept as tables they are computed once.
+    return materialize(truth, "truth"), materialize(found, "found")
 
 
 @query("value_hits", f"""
