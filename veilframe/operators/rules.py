@@ -151,7 +151,7 @@ def enabled_only(table: DataFrame) -> DataFrame:
 
 def with_builtins_disabled(table: DataFrame, disabled: DataFrame) -> DataFrame:
     """Switch off the built-in rules whose ``id`` is listed in ``disabled``."""
-    off = F.broadcast(disabled.select("id").distinct().limit(MAX_RULES).withColumn("off", F.lit(True)))
+    off = disabled.select("id").distinct().withColumn("off", F.lit(True))
     switched = F.when(F.col("source") == "builtin", F.col("off").isNull()).otherwise(F.col("enabled"))
     return table.join(off, "id", "left").withColumn("enabled", switched).select(*table.columns)
 

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
+import re
+import shutil
 import tempfile
 import uuid
 
@@ -14,12 +17,17 @@ BROADCAST_ROWS = 200_000
 def shared_folder(spark: SparkSession) -> str:
     """The folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
 
-    Only where the cluster names none (single-machine runs and tests) one is
-    made and kept in the session's configuration.
+    Only on a single machine (master ``local[...]``: tests, notebooks) a folder
+    is made where none is named, kept in the session's configuration, and
+    removed when the process ends. On a cluster the setting is required, since
+    a folder of one machine is not seen by the others.
     """
-    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not re.fullmatch(r"local(\[.*\])?", spark.conf.get("spark.master", "local")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         folder = tempfile.mkdtemp(prefix="veilframe-")
+        atexit.register(shutil.rmtree, folder, ignore_errors=True)
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder
 
