@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+from veilframe.llm.queries_planning import op2_table_sharding, op3_low_discrepancy_mix
 from veilframe.llm.queries_tokens import op1_token_files, op9_best_fit_packing
 
 QUERIES = {
     "op1_token_files": op1_token_files,
+    "op2_table_sharding": op2_table_sharding,
+    "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
     "op9_best_fit_packing": op9_best_fit_packing,
 }
 ORACLES: dict[str, str] = {}
