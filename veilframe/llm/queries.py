@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from veilframe.llm.queries_duplicates import op10_anchor_simhash
 from veilframe.llm.queries_planning import op2_table_sharding, op3_low_discrepancy_mix
 from veilframe.llm.queries_tokens import op1_token_files, op9_best_fit_packing
 
@@ -10,5 +11,6 @@ QUERIES = {
     "op2_table_sharding": op2_table_sharding,
     "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
     "op9_best_fit_packing": op9_best_fit_packing,
+    "op10_anchor_simhash": op10_anchor_simhash,
 }
 ORACLES: dict[str, str] = {}
