@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from veilframe.llm.queries_duplicates import op10_anchor_simhash
+from veilframe.llm.queries_duplicates import op6_phrase_repeats, op10_anchor_simhash
 from veilframe.llm.queries_planning import op2_table_sharding, op3_low_discrepancy_mix
 from veilframe.llm.queries_tokens import op1_token_files, op9_best_fit_packing
 from veilframe.llm.queries_vectors import OP4_SQL, OP7_SQL, op4_pca_near_vectors, op7_histogram_top_k
@@ -12,11 +12,13 @@ QUERIES = {
     "op2_table_sharding": op2_table_sharding,
     "op3_low_discrepancy_mix": op3_low_discrepancy_mix,
     "op4_pca_near_vectors": op4_pca_near_vectors,
+    "op6_phrase_repeats": op6_phrase_repeats,
     "op7_histogram_top_k": op7_histogram_top_k,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_anchor_simhash": op10_anchor_simhash,
 }
 ORACLES: dict[str, str] = {
     "op4_pca_near_vectors": OP4_SQL,
+    "op6_phrase_repeats": op6_phrase_repeats,
     "op7_histogram_top_k": OP7_SQL,
 }

@@ -3,8 +3,17 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from veilframe.llm import simhash
+from veilframe.llm import repeats, simhash
+
+
+def op6_phrase_repeats(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = repeats.remove_repeats(docs, length=50)
+    return found.select(
+        "doc_id", "n_bytes", (F.col("n_bytes") - F.octet_length("kept")).alias("n_removed"), F.size("spans").cast("long").alias("n_spans"),
+        F.sha2("kept", 256).alias("kept_sha256"))
 
 
 def op10_anchor_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
