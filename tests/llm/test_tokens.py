@@ -8,11 +8,12 @@ import pytest
 
 from veilframe.llm import packing, token_files
 from veilframe.llm.queries_tokens import op1_token_files, op9_best_fit_packing, word_tokenizer
+from veilframe.llm.tokens import WordTokenizer
 from veilframe.llm.token_files import Segment, encode_segment, segments
 
 SF = "/root/testdata/sf0.001"
 HARD = ["", None, " ", "\t\n", "a", "It's we'll DON'T 12345 a1b2", "<|endoftext|> x<|startoftext|>y", "\u00e9 e\u0301 \u0301 x", "\u03a3\u03a3 \u03a3.", "\x1c a\x1cb\x0bc",
-        "\u2003em\u00a0nb", "\u4e2d\u6587 \U0001f600\U0001f600", "x" * 5000, "word " * 30000]
+        "\u2003em\u00a0nb", "Abc. abc, .abc abc.. a.b. ABC,. O'Neil. x's, I.", "\u4e2d\u6587 \U0001f600\U0001f600", "x" * 5000, "word " * 30000]
 
 
 def whole(texts, end):
@@ -22,6 +23,18 @@ def whole(texts, end):
     return [[*t.encode(x or "", add_special_tokens=False).ids, end] for x in texts]
 
 
+def test_all_words_as_the_whole_tokenizer():
+    import pyarrow as pa
+
+    letters = [chr(c) for c in range(1, 0x250)] + ["\u0301", "\u4e00", "\ufb01", "\u1e9e"]
+    draw = random.Random(2)
+    texts = [a + b for a in ("", "a", "\u00df") for b in letters] + ["".join(draw.choices(letters, k=9)) + draw.choice(["", ".", "'s", "...", "<|", "###"]) for _ in range(3000)]
+    coder = WordTokenizer(word_tokenizer())
+    ids, bounds = coder.encode(pa.array(texts))
+    got = [ids[a:b].tolist() for a, b in zip(bounds, bounds[1:])]
+    assert got == [w[:-1] for w in whole(texts, 0)]
+
+
 def crc(ids):
     return zlib.crc32(np.array(ids, "<u4").tobytes())
 

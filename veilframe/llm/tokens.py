@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 from array import array
 from collections.abc import Iterator
+from string import punctuation
 
 import numpy as np
 import pyarrow as pa
@@ -12,6 +13,9 @@ import pyarrow.compute as pc
 
 # Text that is held as words at one time, in bytes.
 SLICE_BYTES = 8 << 20
+# Byte-level vocabularies spell a byte as its Latin-1 character, but for the bytes that are no printable
+# character there; those above 127 follow one another from U+0122.
+BYTE_SIGNS = {b: 0x122 + i for i, b in enumerate([*range(0x80, 0xA1), 0xAD])}
 
 
 class WordTokenizer:
@@ -19,29 +23,34 @@ class WordTokenizer:
 
     No token of such a tokenizer spans white space, and its normalizer looks at
     no character beyond it, so a text's ids are those of its words in a row.
-    Words repeat, so every distinct word of a slice is encoded once, and
-    ``keep`` words at most are remembered between slices.
+    Words repeat, so every distinct word of a slice is encoded once, and about
+    ``keep`` words are remembered between slices. A word of letters below U+0180
+    is composed already; it is lowered, spelled in the byte signs and handed to
+    the tokenizer's model alone, and so is the run of punctuation behind it.
+    All other words take all steps of the tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 600_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.keep = keep
         self.known: dict[str, bytes] = {}
+        self.tails: dict[str, bytes] = {}
 
     def encode(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts in a row, and where each text's ids begin and end; null counts as empty."""
         listed = pc.ascii_split_whitespace(pc.fill_null(texts, ""))
         coded = listed.flatten().dictionary_encode()
-        words = coded.dictionary.to_pylist()
+        words = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         if len(self.known) > self.keep:
             self.known.clear()
+            self.tails.clear()
         known = self.known
         new = [w for w in words if w not in known]
-        for word, found in zip(new, self.tokenizer.encode_batch_fast(new, add_special_tokens=False)):
-            known[word] = array("I", found.ids).tobytes()
+        if new:
+            self._learn(new)
         packed = [known[w] for w in words]
         flat = np.frombuffer(b"".join(packed), "<u4")
         sizes = np.fromiter(map(len, packed), np.int64, len(packed)) // 4
@@ -54,6 +63,26 @@ class WordTokenizer:
         bounds = np.concatenate(([0], ends))[np.asarray(listed.offsets) - listed.offsets[0].as_py()]
         return ids, bounds
 
+    def _learn(self, words: list[str]) -> None:
+        known, tokenize, hard = self.known, self.tokenizer.model.tokenize, []
+        plain: dict[str, bytes] = {}
+        for word in words:
+            stem = word.rstrip(punctuation)
+            if not stem.isalpha() or not stem.isascii() and (max(stem) >= "\u0180" or "\u0130" in stem):
+                hard.append(word)
+                continue
+            tail = word[len(stem):]
+            stem = stem.lower()
+            found = plain.get(stem)
+            if found is None:
+                spelled = stem if stem.isascii() else stem.encode().decode("latin-1").translate(BYTE_SIGNS)
+                found = plain[stem] = array("I", [t.id for t in tokenize(spelled)]).tobytes()
+            if tail not in self.tails:
+                self.tails[tail] = array("I", self.tokenizer.encode(tail, add_special_tokens=False).ids).tobytes()
+            known[word] = found + self.tails[tail]
+        for word, got in zip(hard, self.tokenizer.encode_batch_fast(hard, add_special_tokens=False)):
+            known[word] = array("I", got.ids).tobytes()
+
 
 def text_slices(batch: pa.RecordBatch, column: str, most: int = SLICE_BYTES) -> Iterator[pa.RecordBatch]:
     """Cut a batch into runs of rows with about ``most`` bytes of text; a longer text stands alone."""
