@@ -45,8 +45,8 @@ def test_lookup_table():
 
 
 def test_hot_keys_spread(spark):
-    rows = [(i if i % 3 else None, f"t{i}", "old") for i in range(6000)]
-    df = spark.createDataFrame(rows, "k long, t string, shard string")
+    rows = [(i if i % 3 else None, f"t{i}", "old", 1, 2) for i in range(6000)]
+    df = spark.createDataFrame(rows, "k long, t string, shard string, _n int, _hot int")
     got = sharding.place(df, ["k"], [F.col("t")], [f"s{i}" for i in range(8)], 1009).collect()
     assert len(got) == 6000
     per = Counter(r.shard for r in got)
@@ -108,7 +108,7 @@ def test_mix_hard_rows(spark, block):
     sizes = [0, 5, 5, 5, None, 900, 1, 2, 3, 40, 40]
     names = ["b", "a", "a", "a", "a", "z", None, None, "é", "e", "only zero"]
     rows = [(None if i % 4 == 0 else 1, names[i], sizes[i]) for i in range(len(sizes))] + [(9, "empty", 0)] + [(5, "a", 5)] * 3
-    df = spark.createDataFrame(rows, "doc_id long, source string, size long")
+    df = spark.createDataFrame([(*r, 0, "k", 9) for r in rows], "doc_id long, source string, size long, taken int, _key string, block int")
     made = mixing.mix(df, [3, 1, 2], 1.5, 2, block)
     taken = mixing.lookup(made.taken, made.sources.select("source_no", "source_size", "target"), ["source_no"]).collect()
     check_mix(taken, [s or 0 for _, _, s in rows])

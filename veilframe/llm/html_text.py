@@ -525,13 +525,13 @@ def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataF
     """
     carry = pages.drop(into, column)
     names = carry.columns
-    own = pages.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{column}`").cast("string").alias("_page"))
+    own = pages.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{column}`").cast("string").alias("_vf_page"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for rows in text_slices(batch, "_page"):
+            for rows in text_slices(batch, "_vf_page"):
                 yield pa.RecordBatch.from_arrays(
-                    [*(rows[c] for c in names), pa.array([render(p) for p in rows["_page"].to_pylist()], pa.string())], names=[*names, into])
+                    [*(rows[c] for c in names), pa.array([render(p) for p in rows["_vf_page"].to_pylist()], pa.string())], names=[*names, into])
 
     kinds = "".join(f"`{c}` {t}, " for c, t in carry.dtypes)
     return own.mapInArrow(run, f"{kinds}`{into}` string")

@@ -87,11 +87,15 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: float = 2.0, bl
     null sizes count as 0; a document without words is taken 0 times; equal rows
     are separate documents; an empty table gives empty tables. Runs agree: the
     order depends on the rows alone. Columns other than those named are kept in
-    ``documents`` and ``taken`` and take part in the order of equal ids.
+    ``documents`` and ``taken`` and take part in the order of equal ids, but for
+    those named like a column of the result, which are left out.
     """
     key = F.coalesce(F.concat(F.lit("s"), F.col("source")), F.lit("n"))
-    extra = [c for c in docs.columns if c not in ("doc_id", "source", "size")]
-    own = docs.withColumns({"size": F.coalesce(F.col("size"), F.lit(0)).cast("long"), "_key": key})
+    given = [c for c in docs.columns if c not in ("doc_id", "source", "size", "source_no", "begin", "end", "taken")]
+    extra = [f"_x{i}" for i in range(len(given))]
+    back = dict(zip(extra, given))
+    own = docs.select("doc_id", "source", F.coalesce(F.col("size"), F.lit(0)).cast("long").alias("size"), key.alias("_key"),
+                      *(F.col(f"`{c}`").alias(x) for c, x in zip(given, extra)))
     sizes = own.groupBy("source").agg(F.sum("size").alias("source_size"))
     sources = targets(sizes, weights, share, most)
     blocks = F.ceil(F.col("source_size") / block).cast("long")
@@ -123,7 +127,8 @@ def mix(docs: DataFrame, weights: list[int], share: float, most: float = 2.0, bl
     taken = with_words.select(*columns, "taken").unionByName(without.select(*columns, "taken")).withColumn(
         "taken", F.coalesce("taken", F.lit(0)))
     public = sources.select("source", "source_no", "source_size", "target", "take")
-    return Mix(public, schedule.withColumnsRenamed({"start_word": "from_word", "stop_word": "to_word"}), documents, pieces, taken)
+    return Mix(public, schedule.withColumnsRenamed({"start_word": "from_word", "stop_word": "to_word"}), documents.withColumnsRenamed(back), pieces,
+               taken.withColumnsRenamed(back))
 
 
 def _schedule(sources: DataFrame, block: int) -> DataFrame:

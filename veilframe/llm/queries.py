@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import corpus_pipeline
 from veilframe.llm.queries_duplicates import op6_phrase_repeats, op10_anchor_simhash
 from veilframe.llm.queries_pages import op5_layout_text, op8_co_trained_quality
 from veilframe.llm.queries_planning import op2_table_sharding, op3_low_discrepancy_mix
@@ -19,6 +20,7 @@ QUERIES = {
     "op8_co_trained_quality": op8_co_trained_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_anchor_simhash": op10_anchor_simhash,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
     "op4_pca_near_vectors": OP4_SQL,

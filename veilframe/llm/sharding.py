@@ -58,19 +58,19 @@ def place(df: DataFrame, keys: list[str], spread_by: list[Column], shards: list[
     spark = df.sparkSession
     own = df.drop("slot", "shard")
     table = spark.createDataFrame(list(enumerate(shards[i] for i in lookup_table(shards, slots))), "slot int, shard string")
-    names = [f"_k{i}" for i in range(len(keys))]
+    names = [f"_vf_k{i}" for i in range(len(keys))]
     hash_of = F.xxhash64(*(F.col(f"`{k}`") for k in keys), *(F.col(f"`{k}`").isNull() for k in keys))
-    counts = own.groupBy(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names))).agg(F.count(F.lit(1)).alias("_n"))
-    total = counts.agg(F.sum("_n")).first()[0] or 0
+    counts = own.groupBy(*(F.col(f"`{k}`").alias(n) for k, n in zip(keys, names))).agg(F.count(F.lit(1)).alias("_vf_n"))
+    total = counts.agg(F.sum("_vf_n")).first()[0] or 0
     limit = total // (HOT_PART * len(shards))
-    hot_keys = counts.where(F.col("_n") > limit).select(*names, F.lit(True).alias("_hot")) if limit else counts.limit(0).select(
-        *names, F.lit(True).alias("_hot"))
+    hot_keys = counts.where(F.col("_vf_n") > limit).select(*names, F.lit(True).alias("_vf_hot")) if limit else counts.limit(0).select(
+        *names, F.lit(True).alias("_vf_hot"))
     match = F.lit(True)
     for k, n in zip(keys, names):
         match = match & own[f"`{k}`"].eqNullSafe(hot_keys[n])
-    salted = F.when(F.col("_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(len(shards)))).otherwise(F.lit(0))
-    marked = own.join(F.broadcast(hot_keys), match, "left").withColumn("_salt", salted)
-    slotted = marked.withColumn("slot", F.pmod(F.xxhash64(hash_of, F.col("_salt")), F.lit(slots)).cast("int"))
+    salted = F.when(F.col("_vf_hot"), F.pmod(F.xxhash64(*spread_by), F.lit(len(shards)))).otherwise(F.lit(0))
+    marked = own.join(F.broadcast(hot_keys), match, "left").withColumn("_vf_salt", salted)
+    slotted = marked.withColumn("slot", F.pmod(F.xxhash64(hash_of, F.col("_vf_salt")), F.lit(slots)).cast("int"))
     return slotted.join(F.broadcast(table), "slot").select(*(f"`{c}`" for c in own.columns), "slot", "shard")
 
 

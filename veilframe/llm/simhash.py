@@ -33,6 +33,13 @@ SEED = 42
 # Homes of an anchor, from which it is compared in tiles, and fingerprints of a tile.
 CROWDED = 256
 TILE = 2048
+# Longer fingerprints, for similarities that two bits of 64 can't tell: 256 bits from words and pairs of words, by whose
+# 32-bit blocks candidates meet at anchors, and 256 bits from the shingles, which decide.
+LONG_WORDS = 4
+MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
+# Bits of the deciding fingerprint that a pair may differ beyond the expected number.
+TOLERANCE = 4
+LONG_CROWDED = 64
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
@@ -190,3 +197,135 @@ def near_duplicates(docs: DataFrame, words: int = 3, seed: int = SEED) -> DataFr
 def print_digits(fp: str) -> Column:
     """A fingerprint as 16 lowercase hex digits."""
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
+
+
+def long_votes(hashes: np.ndarray) -> np.ndarray:
+    """Four 64-bit words of majority bits, from 64-bit hashes."""
+    votes = np.zeros(64 * LONG_WORDS, np.int64)
+    for at in range(0, len(hashes), 16_384):
+        part = hashes[at:at + 16_384, None]
+        with np.errstate(over="ignore"):
+            part = (part ^ (part >> np.uint64(32))) * MIXERS
+            part ^= part >> np.uint64(29)
+        bits = np.unpackbits(np.ascontiguousarray(part).astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
+        votes += bits.sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
+
+
+def long_fingerprints(text: bytes, words: int) -> np.ndarray:
+    """Candidate and deciding fingerprint of one text, four words each; zeros for a text without words."""
+    found = text.lower().split()
+    if not found:
+        return np.zeros(2 * LONG_WORDS, np.uint64)
+    joined = b" ".join(found)
+    ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
+    starts = np.concatenate(([0], ends[:-1] + 1))
+    digest = xxhash.xxh3_64_intdigest
+
+    def grams(n: int) -> np.ndarray:
+        n = min(n, len(found))
+        return np.array([digest(joined[a:b]) for a, b in zip(starts[:len(found) - n + 1].tolist(), ends[n - 1:].tolist())], np.uint64)
+
+    return np.concatenate((long_votes(np.concatenate((grams(1), grams(2)))), long_votes(grams(words))))
+
+
+def bits_apart(similarity: float) -> int:
+    """Bits of the deciding fingerprint within which shingle sets of this Jaccard similarity are expected, and the tolerance."""
+    return round(64 * LONG_WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + TOLERANCE
+
+
+def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
+    """``doc_id, component_id`` of every row of ``docs(doc_id, text)``: groups of texts alike in their shingles.
+
+    The share of differing bits of a SimHash estimates the angle between two
+    texts' shingles; pairs are linked whose estimate is at least ``similarity``
+    (Jaccard). Candidates are pairs that differ in at most one bit in one of
+    eight 32-bit blocks of a fingerprint of words and word pairs, which meet at
+    anchors as for :func:`near_duplicates`. Equal texts are always linked.
+    Rules for null ids and texts and for repeated rows are those of
+    :func:`near_duplicates`.
+    """
+    names = [f"w{i}" for i in range(2 * LONG_WORDS)]
+
+    def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_slices(batch, "text"):
+                found = np.array([long_fingerprints((t or "").encode(), words) for t in rows["text"].to_pylist()], np.uint64).view(np.int64)
+                yield pa.RecordBatch.from_arrays([rows["doc_id"], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names)))], names=["doc_id", *names])
+
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    prints = materialize(own.mapInArrow(made, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
+    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
+    roots = materialize(components(_similar_links(nodes, bits_apart(similarity))), "roots")
+    members = materialize(nodes.join(roots, "node", "left").select(*names, "first_id", F.coalesce("root", "node").alias("root")), "members")
+    least = materialize(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
+    of_print = materialize(lookup(members.drop("first_id"), least, ["root"]).drop("root"), "components")
+    return lookup(prints, of_print, names).select("doc_id", "component_id")
+
+
+def _similar_links(nodes: DataFrame, most: int) -> DataFrame:
+    """Links ``a, b`` between nodes that meet at an anchor and whose deciding fingerprints differ in at most ``most`` bits."""
+    candidate = [f"w{i}" for i in range(LONG_WORDS)]
+    deciding = [f"w{i}" for i in range(LONG_WORDS, 2 * LONG_WORDS)]
+
+    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, name in enumerate(candidate):
+                fp = np.asarray(batch[name])
+                found = homes_and_guests(fp)[0]
+                for half in (0, 1):
+                    block = (fp.view(np.uint64) >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, half] * 8 + 2 * w + half), batch["node"], pa.array(block)], names=["anchor", "home", "block"])
+
+    def guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w, name in enumerate(candidate):
+                fp = np.asarray(batch[name])
+                _, row, half, anchor = homes_and_guests(fp)
+                block = (fp.view(np.uint64)[row] >> (np.uint64(32) * half.astype(np.uint64))).astype(np.int64) & 0xFFFFFFFF
+                yield pa.RecordBatch.from_arrays([pa.array(anchor * 8 + 2 * w + half), batch["node"].take(pa.array(row)), pa.array(block)],
+                                                 names=["anchor", "guest", "guest_block"])
+
+    slim = nodes.select("node", *candidate)
+    home = materialize(slim.mapInArrow(homes, "anchor long, home long, block long"), "homes")
+    guest = slim.mapInArrow(guests, "anchor long, guest long, guest_block long")
+    counts = materialize(home.groupBy("anchor").agg(F.count(F.lit(1)).alias("homes"), F.min("home").alias("one")), "anchors")
+    # A guest that is alone at home at an anchor meets nobody there.
+    placed = materialize(guest.join(counts, "anchor").where("homes > 1 or one <> guest").drop("one"), "guests")
+    few = placed.where(F.col("homes") <= LONG_CROWDED).join(home, "anchor").where("guest <> home and bit_count(guest_block ^ block) <= 1")
+    pairs = materialize(few.select(F.greatest("guest", "home").alias("a"), F.least("guest", "home").alias("b")).distinct(), "pairs")
+    side = lambda key: nodes.select(F.col("node").alias(key), *(F.col(d).alias(f"{key}_{d}") for d in deciding))
+    apart = " + ".join(f"bit_count(a_{d} ^ b_{d})" for d in deciding)
+    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {most}").select("a", "b")
+
+    at_crowd = placed.where(F.col("homes") > LONG_CROWDED)
+    tiles = materialize(at_crowd.groupBy("anchor", "homes").agg(F.count(F.lit(1)).alias("guests")).select(
+        "anchor", F.ceil(F.col("homes") / TILE).alias("home_tiles"), F.ceil(F.col("guests") / TILE).alias("guest_tiles")), "tiles")
+    tile = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
+    zero = F.lit(0).cast("long")
+    h = home.join(tiles, "anchor").select("anchor", tile("home", "home_tiles").alias("ht"), F.explode(F.sequence(zero, F.col("guest_tiles") - 1)).alias("gt"),
+                                          F.col("home").alias("node"), F.lit(True).alias("at_home"))
+    g = at_crowd.select("anchor", "guest").join(tiles, "anchor").select(
+        "anchor", F.explode(F.sequence(zero, F.col("home_tiles") - 1)).alias("ht"), tile("guest", "guest_tiles").alias("gt"),
+        F.col("guest").alias("node"), F.lit(False).alias("at_home"))
+    crowd = h.unionByName(g).join(nodes.select("node", *deciding), "node")
+    crowded = crowd.groupBy("anchor", "ht", "gt").applyInPandas(lambda rows: _compare_long_tile(rows, deciding, most), "a long, b long")
+    return near.unionByName(crowded)
+
+
+def _compare_long_tile(rows: pd.DataFrame, deciding: list[str], most: int) -> pd.DataFrame:
+    """As :func:`_compare_tile`, for the deciding fingerprints."""
+    words = rows[deciding].to_numpy(np.int64).view(np.uint64)
+    node, at_home = rows["node"].to_numpy(), rows["at_home"].to_numpy()
+    home, guest = np.flatnonzero(at_home), np.flatnonzero(~at_home)
+    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+    for at in range(0, len(home), 128):
+        mine = home[at:at + 128]
+        apart = sum(np.bitwise_count(words[mine, None, k] ^ words[None, guest, k]).astype(np.int16) for k in range(len(deciding)))
+        i, j = np.nonzero(apart <= most)
+        x, y = united(node[mine[i]], node[guest[j]])
+        a.append(x)
+        b.append(y)
+    x, y = united(np.concatenate(a), np.concatenate(b))
+    return pd.DataFrame({"a": x, "b": y})
