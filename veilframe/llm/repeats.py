@@ -361,29 +361,33 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH) -> DataFrame:
 
     def finish(rows: pa.Table, known: list) -> Iterator[pa.RecordBatch]:
         b, (value, doc, place, count, _), code, sent = runs(rows, known)
-        marks = [np.zeros(len(t) + 1, np.int32) for t in b.texts]
+        sizes = np.array([len(t) for t in b.texts], np.int64)
+        base = np.cumsum(sizes + 1) - sizes - 1  # a document's marks begin here
+        mark = np.zeros(int((sizes + 1).sum()) + 1, np.int32)
         for (s, begin, end, home), (_, _, part) in zip(b.split(), b.phrases):
-            for d, x, y in zip(s.doc[part[~home]].tolist(), (begin + s.shift[part])[~home].tolist(), (end + s.shift[part])[~home].tolist()):
-                marks[d][x] += 1
-                marks[d][y] -= 1
+            at = (base[s.doc[part]] + s.shift[part])[~home]
+            np.add.at(mark, at + begin[~home], 1)
+            np.subtract.at(mark, at + end[~home], 1)
+        # Answers come by box, in the order in which the runs were sent.
         answers = {int(np.frombuffer(m, "<i8", 1)[0]): np.frombuffer(m, np.uint8, -1, 8) for m in known[2]}
-        flags: list = [None] * len(sent)
-        for box, at in by_box(((value[sent] >> np.uint64(1)) % np.uint64(boxes)).astype(np.int64), boxes):
-            ends = np.cumsum(count[sent[at]])
-            for i, x, y in zip(at.tolist(), (ends - count[sent[at]]).tolist(), ends.tolist()):
-                flags[i] = answers[box][x:y]
-        least = b.ids[doc[sent]]
-        for d, p, n, c in zip(doc.tolist(), place.tolist(), count.tolist(), code.tolist()):
-            # The batch's smallest document with these strings asked for all; they repeat it in the others.
-            hit = np.arange(n) if b.ids[d] > least[c] else np.flatnonzero(flags[c])
-            np.add.at(marks[d], p + hit, 1)
-            np.subtract.at(marks[d], p + hit + length, 1)
+        order = [(box, at) for box, at in by_box(((value[sent] >> np.uint64(1)) % np.uint64(boxes)).astype(np.int64), boxes)]
+        flags = np.concatenate([np.empty(0, np.uint8), *(answers[box] for box, _ in order)])
+        asked = np.concatenate([np.empty(0, np.int64), *(at for _, at in order)])
+        first = np.empty(len(sent), np.int64)
+        first[asked] = np.cumsum(count[sent[asked]]) - count[sent[asked]]
+        # The batch's smallest document with these strings asked for all; they repeat it in the others.
+        nth = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+        hit = (flags[np.repeat(first[code], count) + nth] > 0) | np.repeat(b.ids[doc] > b.ids[doc[sent]][code], count)
+        start = (np.repeat(base[doc] + place, count) + nth)[hit]
+        np.add.at(mark, start, 1)
+        np.subtract.at(mark, start + length, 1)
+        covered = np.cumsum(mark[:-1]) > 0
         spans, kept = [], []
-        for text, mark in zip(b.texts, marks):
-            covered = np.concatenate(([False], np.cumsum(mark[:-1]) > 0, [False]))
-            edge = np.flatnonzero(covered[1:] != covered[:-1]).reshape(-1, 2).tolist()
+        for text, x in zip(b.texts, base.tolist()):
+            mine = np.concatenate(([False], covered[x:x + len(text)], [False]))
+            edge = np.flatnonzero(mine[1:] != mine[:-1]).reshape(-1, 2).tolist()
             spans.append([{"begin": x, "end": y} for x, y in edge])
-            kept.append(b"".join(text[x:y] for x, y in zip([0, *(y for _, y in edge)], [*(x for x, _ in edge), len(text)])))
+            kept.append(b"".join(text[x:y] for x, y in zip([0, *(y for _, y in edge)], [*(x for x, _ in edge), len(text)])) if edge else text)
         table = rows.combine_chunks()
         kind = pa.list_(pa.struct([("begin", pa.int64()), ("end", pa.int64())]))
         made = pa.table([
