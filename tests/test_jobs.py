@@ -1,19 +1,23 @@
 """Codes, mapping tables, restore, review, batches, lookups and streams."""
 
 import random
+import re
+import time
 from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
 
 from veilframe.operators import audit, codes, lookup, ranking, redact as r, restore as rs, review
-from veilframe.operators.detect import detect, item_table
+from veilframe.operators.detect import detect, find, item_table
 from veilframe.operators.names import unique_names
 from veilframe.operators.rules import (
-    builtin_rules, new_rule_id, regex_problem, rules_fingerprint, rules_from_table, rules_table, with_retention,
+    builtin_rules, custom_rule, new_rule_id, regex_problem, rules_fingerprint, rules_from_table, rules_table, with_builtins_disabled,
+    with_retention,
 )
 from veilframe.functions.retention import Retention
 from veilframe.plans.pipelines import deidentify, deidentify_shared, deidentify_with_mapping
+from veilframe.session import shared_folder
 from veilframe.sources import mapping as m
 from veilframe.sources.documents import pasted, read_text_files, write_documents
 from veilframe.sources.rule_config import rules_from_json, rules_to_json
@@ -33,8 +37,8 @@ def docs(spark):
 
 def small_codes(monkeypatch, digits):
     """Make codes short, so that clashes are frequent."""
-    whole = codes.hashed_code
-    monkeypatch.setattr(codes, "hashed_code", lambda *a: F.substring(whole(*a), 1, digits))
+    whole = codes._code_of_text
+    monkeypatch.setattr(codes, "_code_of_text", lambda *a: F.substring(whole(*a), 1, digits))
 
 
 @pytest.mark.parametrize("mode", ["hide", "standard"])
@@ -162,12 +166,106 @@ def test_review(spark, docs):
     assert off.where("active").count() == more.count() - 4
     redone = review.rescan(item_table(detect(docs), "doc_id"), off, "doc_id")
     assert redone.where("not active").count() == 4 and redone.where("origin = 'manual'").count() == 1
-    attached = r.attach(docs, redone.where("active"), "doc_id")
+    attached = r.attach(docs, redone, "doc_id")
     out = {x["doc_id"]: x["redacted"] for x in r.redact(attached, "label").collect()}
     assert out[1] == "a@x.tw [識別碼] to b@x.tw, then a@x.tw called [手機]." and out[3] == "nothing"
     assert audit.overlaps(redone, "doc_id").count() == 0
 
 
+def test_requests_of_one_call_meet(spark, docs):
+    items = review.auto_items(item_table(detect(docs), "doc_id")).where("false")
+    asked = [(1, 0, 5), (1, 3, 8), (1, 0, 5), (1, 5, 8), (1, 6, 7), (1, 8, 9), (3, 0, 4)]
+    ask = spark.createDataFrame(asked, "doc_id int, start int, end int").withColumn(
+        "category", F.lit("識別碼")).withColumn("retention", Retention().column())
+    more, rejected = review.add_manual(items, ask, docs, "doc_id")
+    assert sorted((x["doc_id"], x["start"], x["end"]) for x in more.collect()) == [(1, 0, 5), (1, 5, 8), (1, 8, 9), (3, 0, 4)]
+    assert sorted((x["start"], x["end"], x["reason"]) for x in rejected.collect()) == [(0, 5, "overlap"), (3, 8, "overlap"), (6, 7, "overlap")]
+    ordered = ask.withColumn("request_no", F.monotonically_increasing_id() * -1)
+    more, _ = review.add_manual(items, ordered.where("start in (0, 3) and doc_id = 1"), docs, "doc_id")
+    assert [(x["start"], x["end"]) for x in more.collect()] in ([(3, 8)], [(0, 5)])
+    off = spark.createDataFrame([(1, 0, 5, False), (1, 3, 8, False), (1, 8, 9, False), (1, 20, 21, True)], "doc_id int, start int, end int, active boolean")
+    back, late = review.toggle(off, off.where("not active"), "doc_id")
+    assert sorted(x["start"] for x in back.where("active").collect()) == [0, 8, 20] and [x["start"] for x in late.collect()] == [3]
+    label = r.redact(r.attach(docs, review.with_categories_off(review.auto_items(item_table(detect(docs), "doc_id")), ["電子郵件"]), "doc_id"), "label")
+    assert "a@x.tw" in label.where("doc_id = 1").first()["redacted"]
+
+
+def test_values_with_private_characters_come_back(spark):
+    text = "\ue000a@x.tw\ue001 王小明先生 \ue002\ue003 ID-\ue000\ue001-9"
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    done = deidentify_with_mapping(docs, secret="s", rules=[*builtin_rules("email", "zh-name"), custom_rule("c-1", "n", "識別碼", r"ID-..-\d")])
+    assert "ID-" not in done.documents.first()["redacted"]
+    assert rs.restore(done.documents.select("doc_id", "redacted"), done.mapping, "doc_id").first()["restored"] == text
+
+
+def test_very_many_items_in_one_text(spark):
+    """Codes and mapping rows take time in proportion to the items."""
+    text = " ".join(f"user{n}@x.tw" for n in range(12_000))
+    docs = spark.createDataFrame([(1, text)], "doc_id int, text string")
+    began = time.time()
+    done = deidentify_with_mapping(docs, secret="s", rules=builtin_rules("email"))
+    assert done.mapping.count() == 12_000 and time.time() - began < 60
+
+
+def test_long_runs_without_addresses(spark):
+    rule = builtin_rules("email")[0]
+    docs = spark.createDataFrame([(1, "x" * 300_000 + " a@b.tw")], "doc_id int, text string")
+    began = time.time()
+    assert [x["value"] for x in find(docs, rule, "doc_id").collect()] == ["a@b.tw"]
+    assert time.time() - began < 20
+    draw = random.Random(1)
+    texts = ["".join(draw.choices("ab1.@@-_ ", k=60)) + draw.choice(["", "a@b.cc", "a@b.cc_d@e.ff"]) for _ in range(400)]
+    found = find(spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string"), rule, "doc_id").collect()
+    want = [(n, m.start(), m[0]) for n, t in enumerate(texts) for m in re.finditer(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}", t)]
+    assert sorted((x["doc_id"], x["start"], x["value"]) for x in found) == sorted(want)
+
+
+def test_mapping_files_with_headers_of_their_own(spark, tmp_path):
+    (tmp_path / "m").mkdir()
+    (tmp_path / "m" / "a.csv").write_bytes("\ufeffcode,category,original\r\naaaaaa,X,one\r\n\r\nbbbbbb,X,\"t\r\nwo\"\r\ncccccc,X,three\r\n".encode())
+    (tmp_path / "m" / "b.csv").write_bytes(b"original,extra,category,code\nfour,e,Y,dddddd\n")
+    got = m.read_mapping(spark, str(tmp_path / "m")).collect()
+    assert sorted((x["code"], x["category"], x["original"], x["line_no"]) for x in got) == [
+        ("aaaaaa", "X", "one", 2), ("bbbbbb", "X", "t\r\nwo", 4), ("cccccc", "X", "three", 6), ("dddddd", "Y", "four", 2)]
+    m.write_mapping(got and m.read_mapping(spark, str(tmp_path / "m")), str(tmp_path / "out"))
+    parts = [p.read_bytes() for p in (tmp_path / "out").glob("part-*")]
+    assert parts and all(p.startswith(b"\xef\xbb\xbfcode,category,original\r\n") for p in parts)
+
+
+def test_large_files_are_refused_unread(spark, tmp_path, monkeypatch):
+    from veilframe.sources import documents
+
+    monkeypatch.setattr(documents.fv, "MAX_FILE_BYTES", 5)
+    (tmp_path / "large.txt").write_text("more than five", "utf-8")
+    (tmp_path / "small.txt").write_text("five", "utf-8")
+    docs, refused = read_text_files(spark, str(tmp_path))
+    assert [x["text"] for x in docs.collect()] == ["five"] and [x["refused"] for x in refused.collect()] == ["too_large"]
+    assert "LessThanOrEqual(length,5)" in docs._jdf.queryExecution().toString()
+
+
+def test_more_disabled_rules_than_a_thousand(spark):
+    table = rules_table(spark)
+    off = spark.range(3000).select(F.concat(F.lit("other-"), "id").alias("id")).unionByName(table.select("id"))
+    assert with_builtins_disabled(table, off).where("enabled").count() == 0
+
+
+def test_clusters_need_a_shared_folder(spark, monkeypatch):
+    class Conf:
+        def __init__(self, values):
+            self.values = values
+
+        def get(self, key, other=None):
+            return self.values.get(key, other)
+
+    class Session:
+        conf = Conf({"spark.master": "spark://host:7077"})
+
+    with pytest.raises(ValueError):
+        shared_folder(Session())
+    Session.conf = Conf({"spark.master": "spark://host:7077", "spark.checkpoint.dir": "/shared"})
+    assert shared_folder(Session()) == "/shared"
+
+
 def test_spans_longer_than_a_block_meet(spark):
     a = spark.createDataFrame([(1, 10, 30_000), (1, 40_000, 40_001)], "doc_id int, start int, end int")
     b = spark.createDataFrame([(1, 29_999, 29_999 + 5), (1, 40_001, 40_002)], "doc_id int, start int, end int")

@@ -162,7 +162,7 @@ def is_birth_date(value: Column) -> Column:
 
     def parts(n: Column) -> Column:
         by_name = F.struct(
-            F.when(F.length(word) == 3, ((F.instr(F.lit(fv.MONTHS), word) + 2) / 3).cast("int")).alias("month"),
+            F.array_position(F.array(*map(F.lit, fv.MONTHS)), word).cast("int").alias("month"),
             F.coalesce(F.get(F.filter(n, lambda x: x <= 31), F.lit(0)), F.lit(0)).alias("day"))
         a, b, c = (F.get(n, F.lit(i)) for i in range(3))
         year_first = F.struct(b.alias("month"), c.alias("day"))

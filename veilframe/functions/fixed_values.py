@@ -47,7 +47,7 @@ INTL_PHONE = (
 TW_ID = r"(?<![A-Za-z0-9])[A-Z][12]\d{8}(?!\d)"
 TAX_ID = r"(?<![\d-])\d{8}(?![\d-])"
 SSN = r"(?<![\d-])(?:\d{3}-\d{2}-\d{4}|\d{3}\x20\d{2}\x20\d{4})(?![\d-])"
-SSN_LABEL = rf"(?:SSN|Social Security (?:Number|No\.?)){WS}*[#:：]?{WS}*"
+SSN_LABEL = rf"(?:SSN|Social Security (?:Number|No\.?)){WS}*+(?:[#:：]{WS}*+)?"
 SSN_BARE = r"\d{9}(?!\d)"
 CARD = r"(?<![\d-])\d(?:[\x20-]?\d){12,18}(?![\d-])"
 # Visa, Mastercard, American Express, Discover, JCB, UnionPay, Diners Club.
@@ -75,7 +75,8 @@ IBAN_LENGTH = {
 TW_ID_LETTERS = "ABCDEFGHJKLMNPQRSTUVXYWZIO"
 
 # --------------------------------------------------- e-mail and IP addresses
-EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
+# A match begins where a run of local characters begins or where the match before it ended, so a run without @ is read once.
+EMAIL = r"(?:(?<![A-Za-z0-9._%+-])|\G)[A-Za-z0-9._%+-]++@[A-Za-z0-9.-]+\.[A-Za-z]{2,}"
 OCTET = r"(?:25[0-5]|2[0-4]\d|1\d\d|[1-9]?\d)"
 IPV4 = rf"(?<![\d.])(?:{OCTET}\.){{3}}{OCTET}(?!\.?\d)"
 IPV6 = r"(?<![\w:.])(?:[0-9A-Fa-f]{0,4}:){2,7}[0-9A-Fa-f]{1,4}(?![\w:])"
@@ -89,7 +90,7 @@ BIRTH_WORDS = (
     r"(?:DOB|D\.O\.B\.?|[Dd]ate [Oo]f [Bb]irth|[Bb]irth ?[Dd]ate|[Bb]irthday|[Bb]orn(?: [Oo]n)?"
     r"|出生日期|出生年月日|生日)"
 )
-BIRTH_LABEL = rf"{BIRTH_WORDS}[\x20\t]*[:：]?[\x20\t]*"
+BIRTH_LABEL = rf"{BIRTH_WORDS}[\x20\t]*+(?:[:：][\x20\t]*+)?"
 BIRTH_DATE = (
     rf"(?:(?:民國{WS}*)?\d{{2,4}}{WS}*年{WS}*\d{{1,2}}{WS}*月{WS}*\d{{1,2}}{WS}*日?"
     r"|\d{4}[-/.]\d{1,2}[-/.]\d{1,2}"
@@ -97,7 +98,7 @@ BIRTH_DATE = (
     rf"|{MONTH}\.?\x20+\d{{1,2}}(?:st|nd|rd|th)?,?\x20+\d{{4}}"
     rf"|\d{{1,2}}(?:st|nd|rd|th)?\x20+{MONTH}\.?,?\x20+\d{{4}})"
 )
-MONTHS = "janfebmaraprmayjunjulaugsepoctnovdec"
+MONTHS = ["jan", "feb", "mar", "apr", "may", "jun", "jul", "aug", "sep", "oct", "nov", "dec"]
 
 # ------------------------------------------------------------- organisations
 COMPANY_SUFFIX = (

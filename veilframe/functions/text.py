@@ -74,6 +74,14 @@ def fenced(text: Column) -> Column:
         t.rlike(f"[{FENCES}]"), F.translate(t, FENCES, STAND_IN * len(FENCES))).otherwise(t))
 
 
+def exact_values(text: Column, spans: Column) -> Column:
+    """Spans that were found in :func:`fenced` text, with their values as in the text itself."""
+    def cut(s: Column) -> Column:
+        return s.withField("value", F.substring(text, s["start"] + 1, s["end"] - s["start"]))
+
+    return let(spans, lambda xs: F.when(text.rlike(f"[{FENCES}]"), F.transform(xs, cut)).otherwise(xs))
+
+
 def each(df: DataFrame, array: Column | str, *keys: str, name: str = "one", position: str | None = None) -> DataFrame:
     """One row per array element.
 

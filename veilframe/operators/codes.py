@@ -32,12 +32,19 @@ ATTEMPTS = 64
 MARK = chr(1)
 
 
+def key_text(key: Column) -> Column:
+    """A key as one string; equal for equal keys only."""
+    return F.concat_ws(MARK, key["category"], key["head"].cast("string"), key["tail"].cast("string"), key["value"])
+
+
+def _code_of_text(secret: str, scope: Column, text: Column, attempt: Column | int = 0) -> Column:
+    n = attempt if isinstance(attempt, Column) else F.lit(attempt)
+    return F.substring(F.sha2(F.concat_ws(MARK, F.lit(secret), scope.cast("string"), text, n.cast("string")), 256), 1, CODE_LENGTH)
+
+
 def hashed_code(secret: str, scope: Column, key: Column, attempt: Column | int = 0) -> Column:
     """The code of a key at an attempt: first digits of a keyed SHA-256."""
-    n = attempt if isinstance(attempt, Column) else F.lit(attempt)
-    told = F.concat_ws(MARK, F.lit(secret), scope.cast("string"), key["category"], key["head"].cast("string"),
-                       key["tail"].cast("string"), key["value"], n.cast("string"))
-    return F.substring(F.sha2(told, 256), 1, CODE_LENGTH)
+    return _code_of_text(secret, scope, key_text(key), attempt)
 
 
 def key_of(item: Column) -> Column:
@@ -49,16 +56,20 @@ def _with_code(item: Column, code: Column) -> Column:
 
 
 def coded_in_row(items: Column, scope: Column, secret: str) -> Column:
-    """Items of one document with codes unique inside the document."""
-    entry = f"struct<key:{KEY_TYPE},code:string>"
+    """Items of one document with codes unique inside the document.
+
+    Keys are compared as strings, by hash, so that a document with very many
+    items takes time in proportion to their number.
+    """
+    entry = "struct<key:string,code:string>"
 
     def plain(i: Column) -> Column:
-        return _with_code(i, hashed_code(secret, scope, key_of(i)))
+        return _with_code(i, hashed_code(secret, scope, i))
 
     def clashes(keys: Column) -> Column:
         """Keys whose hash an earlier key of the document already has, in order."""
         ranked = F.array_sort(F.transform(keys, lambda k, n: F.struct(
-            hashed_code(secret, scope, k).alias("code"), n.alias("n"), k.alias("key"))))
+            _code_of_text(secret, scope, k).alias("code"), n.alias("n"), k.alias("key"))))
         late = let(ranked, lambda r: F.filter(r, lambda e, n: (n > 0) & (
             e["code"] == F.get(r, n - 1)["code"])))
         return F.array_sort(F.transform(late, lambda e: F.struct(e["n"].alias("n"), e["key"].alias("key"))))
@@ -67,8 +78,8 @@ def coded_in_row(items: Column, scope: Column, secret: str) -> Column:
         """A free code for every clashing key, one after the other."""
 
         def one(acc: Column, e: Column) -> Column:
-            tries = F.transform(F.sequence(F.lit(1), F.lit(ATTEMPTS)), lambda a: hashed_code(secret, scope, e["key"], a))
-            free = F.filter(tries, lambda c: ~F.array_contains(taken, c) & ~F.exists(acc, lambda x: x["code"] == c))
+            tries = F.transform(F.sequence(F.lit(1), F.lit(ATTEMPTS)), lambda a: _code_of_text(secret, scope, e["key"], a))
+            free = F.array_except(F.array_except(tries, taken), F.transform(acc, lambda x: x["code"]))
             code = F.coalesce(F.get(free, F.lit(0)), F.raise_error(F.lit("no free code left")).cast("string"))
             return F.array_append(acc, F.struct(e["key"].alias("key"), code.alias("code")))
 
@@ -76,15 +87,15 @@ def coded_in_row(items: Column, scope: Column, secret: str) -> Column:
 
     def coded(xs: Column) -> Column:
         done = F.transform(xs, plain)
-        keys = F.array_distinct(F.transform(xs, key_of))
+        keys = F.array_distinct(F.transform(xs, key_text))
 
         def patched(parts: Column) -> Column:
-            book = resolved(parts["keys"], parts["codes"])
+            book = F.map_from_entries(resolved(parts["keys"], parts["codes"]))
             return let(book, lambda b: F.transform(done, lambda i: _with_code(i, F.coalesce(
-                F.get(F.filter(b, lambda e: e["key"] == key_of(i)), F.lit(0))["code"], i["code"]))))
+                F.try_element_at(b, key_text(i)), i["code"]))))
 
         measured = let(keys, lambda ks: F.struct(
-            ks.alias("keys"), F.transform(ks, lambda k: hashed_code(secret, scope, k)).alias("codes")))
+            ks.alias("keys"), F.transform(ks, lambda k: _code_of_text(secret, scope, k)).alias("codes")))
         return let(measured, lambda m: F.when(
             F.size(F.array_distinct(m["codes"])) == F.size(m["keys"]), done).otherwise(patched(m)))
 

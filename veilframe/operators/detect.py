@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 from veilframe.functions.fixed_values import MARKER as MARKER_PATTERN
 from veilframe.functions.retention import NONE, STANDARD, Retention, split, split_for
 from veilframe.functions.text import (
-    accept, each, empty, fenced, let, matches_everywhere_in, matches_in, pieces, pieces_everywhere, resolve_overlaps,
+    accept, each, empty, exact_values, fenced, let, matches_everywhere_in, matches_in, pieces, pieces_everywhere, resolve_overlaps,
 )
 from veilframe.operators.rules import BUILTIN_RULES, HAN, Rule
 
@@ -97,7 +97,7 @@ def candidates(text: Column, rules: Iterable[Rule]) -> Column:
         return F.concat(*found)
 
     gated = let(fenced(text), lambda t: F.struct(t.alias("text"), *[g.alias(n) for n, g in gates_of(t).items()]))
-    return let(gated, both) if active else empty(CANDIDATE)
+    return exact_values(text, let(gated, both)) if active else empty(CANDIDATE)
 
 
 def retention_of(category: Column, rule_id: Column, rules: Iterable[Rule], mode: str,
@@ -177,8 +177,9 @@ def item_table(docs: DataFrame, *keys: str, items: str = "items") -> DataFrame:
 
 def find(docs: DataFrame, rule: Rule, *keys: str, text: str = "text") -> DataFrame:
     """Matches of a single rule, one row each (also the way to try out a rule)."""
-    hits = let(fenced(F.coalesce(F.col(text), F.lit(""))), lambda t: let(
-        rule_pieces(t, rule), lambda parts: accepted(parts, rule)))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    hits = exact_values(whole, let(fenced(whole), lambda t: let(
+        rule_pieces(t, rule), lambda parts: accepted(parts, rule))))
     return each(docs, hits, *keys, name="hit").select(*keys, "hit.*")
 
 

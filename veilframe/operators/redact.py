@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from veilframe.functions.retention import hidden_part, kept_prefix, kept_suffix, preview, rendered
-from veilframe.functions.text import each, splice
+from veilframe.functions.text import each, let, splice
 from veilframe.operators.detect import ITEM_COLUMNS, item_table
 
 STYLES = ("code", "label", "blank")
@@ -46,8 +46,13 @@ def mapping_entry(i: Column) -> Column:
 
 
 def mapping_of(items: Column) -> Column:
-    """The mapping rows of one document: one per code, in order of first use."""
-    return F.array_distinct(F.transform(items, mapping_entry))
+    """The mapping rows of one document: one per code, in order of first use.
+
+    Sorted by code, neighbours are compared: no entry is compared with all others.
+    """
+    ranked = F.array_sort(F.transform(items, lambda i, n: F.struct(i["code"].alias("code"), n.alias("n"), mapping_entry(i).alias("entry"))))
+    firsts = let(ranked, lambda r: F.filter(r, lambda e, n: (n == 0) | ~e["code"].eqNullSafe(F.get(r, n - 1)["code"])))
+    return F.transform(F.array_sort(F.transform(firsts, lambda e: F.struct(e["n"].alias("n"), e["entry"].alias("entry")))), lambda e: e["entry"])
 
 
 def mapping_per_document(docs: DataFrame, key: str, items: str = "items") -> DataFrame:
@@ -85,8 +90,12 @@ def merge_mappings(*tables: DataFrame) -> DataFrame:
 def attach(docs: DataFrame, table: DataFrame, key: str, into: str = "items") -> DataFrame:
     """Bring an item table back into the documents' rows, ordered by start.
 
-    A document's items are bounded by the length of its text.
+    Of a table under review (with ``active``) only active items come back, so
+    cancelled ones are neither replaced nor listed in mapping or manifest. A
+    document's items are bounded by the length of its text.
     """
+    if "active" in table.columns:
+        table = table.where("active")
     columns = [c for c in [*ITEM_COLUMNS, "code"] if c in table.columns]
     item_type = "array<struct<" + ",".join(
         f"{c}:{table.schema[c].dataType.simpleString()}" for c in columns) + ">>"

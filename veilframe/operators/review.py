@@ -9,8 +9,12 @@ many items is spread over many groups.
 
 from __future__ import annotations
 
+from bisect import bisect_left, insort
+
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from veilframe.functions.retention import split_for
 from veilframe.operators.detect import ITEM_COLUMNS
@@ -45,6 +49,31 @@ def contained(inner: DataFrame, outer: DataFrame, key: str) -> DataFrame:
     return hit.select(key, "start", "end").distinct()
 
 
+def _fits_in(rows: pd.DataFrame) -> pd.DataFrame:
+    """Which spans of a document overlap none that was accepted before; rows in order of ``_order``."""
+    ends: list[tuple[int, int]] = []  # accepted spans as (end, start); disjoint, so sorted either way
+    verdicts = []
+    for start, end in rows.sort_values("_order")[["start", "end"]].itertuples(index=False):
+        at = bisect_left(ends, (start + 1, -1))  # the first accepted span that ends behind the start
+        free = at == len(ends) or ends[at][1] >= end
+        verdicts.append(free)
+        if free:
+            insort(ends, (end, start))
+    return rows.sort_values("_order").assign(_fits=verdicts)
+
+
+def without_conflicts(spans: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """Add ``_fits``: whether a span (key, start, end, distinct) is free of those before it that fit, per document, in ``order``.
+
+    A document's requests are judged together; they are bounded by what a person asks for.
+    """
+    place = Window.partitionBy(key).orderBy(*order)
+    rows = spans.select(key, "start", "end", *[c for c in order if c not in ("start", "end")]).withColumn("_order", F.row_number().over(place)).select(
+        key, "start", "end", "_order")
+    kind = dict(rows.dtypes)
+    return rows.groupBy(key).applyInPandas(_fits_in, f"`{key}` {kind[key]}, start {kind['start']}, end {kind['end']}, _order int, _fits boolean").drop("_order")
+
+
 def auto_items(table: DataFrame) -> DataFrame:
     """Detected items as rows to review."""
     return table.withColumn("origin", F.lit("auto")).withColumn("active", F.lit(True))
@@ -55,13 +84,20 @@ def add_manual(items: DataFrame, requests: DataFrame, docs: DataFrame, key: str,
     """Add spans chosen by hand; gives (items, rejected requests).
 
     A request (key, start, end, category, retention) is rejected when it is
-    empty, leaves the text, or overlaps an active item (``reason``).
+    empty, leaves the text, overlaps an active item, or overlaps a request
+    before it that is accepted (``reason``). Requests come in order of
+    ``request_no`` where there is one, else of their place and category.
     """
+    order = [*(["request_no"] if "request_no" in requests.columns else []), "start", "end", "category"]
     placed = requests.join(docs.select(key, F.col(text).alias("_text")), key)
     outside = (F.col("start") < 0) | (F.col("end") > F.length("_text")) | (F.col("start") >= F.col("end"))
     taken = overlapping(requests, items.where("active"), key).withColumn("_taken", F.lit(True))
-    judged = placed.join(taken, [key, "start", "end"], "left").withColumn("reason", F.when(
-        outside, "invalid_range").when(F.col("_taken"), "overlap"))
+    same = Window.partitionBy(key, "start", "end").orderBy(*order)
+    judged = placed.join(taken, [key, "start", "end"], "left").withColumn("_nth", F.row_number().over(same)).withColumn("reason", F.when(
+        outside, "invalid_range").when(F.col("_taken") | (F.col("_nth") > 1), "overlap"))
+    free = without_conflicts(judged.where("reason is null"), key, order)
+    judged = judged.join(free, [key, "start", "end"], "left").withColumn(
+        "reason", F.when(F.col("reason").isNull() & ~F.col("_fits"), "overlap").otherwise(F.col("reason")))
     value = F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start"))
     kept = split_for(F.col("value"), F.col("retention"), F.col("category"))
     new = judged.where("reason is null").withColumn("value", value).withColumn("_split", kept).select(
@@ -75,12 +111,16 @@ def add_manual(items: DataFrame, requests: DataFrame, docs: DataFrame, key: str,
 def toggle(items: DataFrame, requests: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
     """Cancel or reinstate items by (key, start, end); gives (items, rejected requests).
 
-    An item comes back only where no active item overlaps it.
+    An item comes back only where no active item overlaps it, and no item that
+    comes back before it by the same call (in order of place).
     """
     place = [key, "start", "end"]
     asked = requests.select(*place).distinct().withColumn("_asked", F.lit(True))
     back = items.join(asked, place).where(~F.col("active"))
-    blocked_back = overlapping(back, items.where("active"), key).withColumn("_blocked", F.lit(True))
+    blocked_active = overlapping(back, items.where("active"), key)
+    tried = back.select(*place).distinct().join(blocked_active, place, "left_anti")
+    late = without_conflicts(tried, key, ["start", "end"]).where("not _fits").select(*place)
+    blocked_back = blocked_active.unionByName(late).withColumn("_blocked", F.lit(True))
     judged = items.join(asked, place, "left").join(blocked_back, place, "left")
     flips = F.col("_asked").isNotNull() & (F.col("active") | F.col("_blocked").isNull())
     out = judged.withColumn("active", F.when(flips, ~F.col("active")).otherwise(F.col("active")))

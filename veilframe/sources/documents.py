@@ -25,18 +25,17 @@ def judged(files: DataFrame, name: str = "file_name", size: str = "bytes") -> Da
 def read_text_files(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
     """Plain-text and Markdown files as documents; gives (documents, refused files).
 
-    One file is one document. Sizes are checked on file metadata before any
-    content is read.
+    One file is one document. Refused files are told by their metadata alone;
+    the size is a filter of the scan, so content is only read below the limit.
     """
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path)
-    named = files.select(
-        F.col("path").alias("doc_id"), F.substring_index("path", "/", -1).alias("file_name"),
-        F.col("length").alias("bytes"), F.col("content"))
-    checked = judged(named)
-    refused = checked.where("refused is not null or format not in ('txt', 'md')").select(
+    name = F.substring_index("path", "/", -1).alias("file_name")
+    listed = files.select(F.col("path").alias("doc_id"), name, F.col("length").alias("bytes"))
+    refused = judged(listed).where("refused is not null or format not in ('txt', 'md')").select(
         "doc_id", "file_name", "bytes", F.coalesce("refused", F.lit("not_text")).alias("refused"))
-    docs = checked.where("refused is null and format in ('txt', 'md')").select(
-        "doc_id", "file_name", "format", F.decode("content", "UTF-8").alias("text"))
+    small = files.where(F.col("length") <= fv.MAX_FILE_BYTES).select("path", name, "content")
+    docs = small.withColumn("format", format_of(F.col("file_name"))).where("format in ('txt', 'md')").select(
+        F.col("path").alias("doc_id"), "file_name", "format", F.decode("content", "UTF-8").alias("text"))
     return docs, refused
 
 

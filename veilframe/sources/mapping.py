@@ -2,6 +2,12 @@
 
 from __future__ import annotations
 
+import csv
+import io
+from collections.abc import Iterator
+from itertools import islice
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,25 +49,61 @@ def mapping_csv_text(mapping: DataFrame, scope: str = "scope", order: str = "lin
 def write_mapping(mapping: DataFrame, path: str) -> None:
     """Write a mapping table as CSV part files, each with a byte-order mark and a header."""
     names = MAPPING_HEADERS + (KEPT_HEADERS if keeps_some(mapping) else [])
-    mapping.select(*[F.coalesce(F.col(c), F.lit("")).alias(c) for c in names]).write.option("header", True).option(
-        "quote", '"').option("escape", '"').option("lineSep", "\r\n").option("emptyValue", "").csv(path)
+    header = BOM + ",".join(names)
+
+    def with_header(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield pa.RecordBatch.from_arrays([pa.array([header])], names=["line"])
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([batch["line"]], names=["line"])
+
+    lines = mapping.select(csv_line(*[F.col(c) for c in names]).alias("line"))
+    lines.mapInArrow(with_header, "line string").write.option("lineSep", "\r\n").text(path)
+
+
+def _records(content: bytes) -> Iterator[tuple[int, list[str]]]:
+    """(line on which it begins, fields) of every record of a CSV file; empty lines are none."""
+    rows = csv.reader(io.StringIO(content.decode("utf-8-sig", "replace"), newline=""))
+    line = 1
+    for fields in rows:
+        if fields:
+            yield line, fields
+        line = rows.line_num + 1
 
 
 def read_mapping(spark: SparkSession, path: str) -> DataFrame:
-    """Read mapping CSVs with columns found by name; (file, line_no, columns as they are).
+    """Read mapping CSVs; (file, line_no, columns as they are).
 
-    A line break inside a quoted field comes back as LF.
+    Every file has a header of its own, in which columns are found by name, in
+    any order; further columns are left out, missing kept columns are empty.
+    ``line_no`` is the line of the file on which the record begins. A file
+    without a code, category or original column is an error.
     """
-    raw = spark.read.option("header", True).option("multiLine", True).option("quote", '"').option(
-        "escape", '"').option("ignoreLeadingWhiteSpace", False).csv(path)
-    names = {c.strip().lstrip(BOM): c for c in raw.columns}
-    missing = [h for h in MAPPING_HEADERS if h not in names]
-    if missing:
-        raise ValueError(f"mapping table without column(s): {', '.join(missing)}")
-    picked = [F.coalesce(F.col(f"`{names[c]}`"), F.lit("")).alias(c) if c in names else F.lit("").alias(c)
-              for c in MAPPING_HEADERS + KEPT_HEADERS]
-    line = F.monotonically_increasing_id()
-    return raw.select(F.input_file_name().alias("file"), line.alias("line_no"), *picked)
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    wanted = MAPPING_HEADERS + KEPT_HEADERS
+
+    def faults(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                _, head = next(_records(content), (1, []))
+                missing = [h for h in MAPPING_HEADERS if h not in [c.strip() for c in head]]
+                if missing:
+                    yield pa.RecordBatch.from_arrays([pa.array([name]), pa.array([", ".join(missing)])], names=["path", "missing"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for name, content in zip(batch["path"].to_pylist(), batch["content"].to_pylist()):
+                records = _records(content)
+                _, head = next(records, (1, []))
+                place = {c.strip(): n for n, c in reversed(list(enumerate(head)))}
+                at = [place.get(c, len(head) + 1) for c in wanted]
+                while part := list(islice(records, 10_000)):
+                    columns = [pa.array([f[n] if n < len(f) else "" for _, f in part]) for n in at]
+                    yield pa.RecordBatch.from_arrays([
+                        pa.array([name] * len(part)), pa.array([line for line, _ in part], pa.int64()), *columns], names=["file", "line_no", *wanted])
+
+    if bad := files.mapInArrow(faults, "path string, missing string").take(1):
+        raise ValueError(f"mapping table without column(s): {bad[0]['missing']} ({bad[0]['path']})")
+    return files.mapInArrow(rows, "file string, line_no long, " + ", ".join(f"{c} string" for c in wanted))
 
 
 def checked_mapping(rows: DataFrame, scope: str = "scope") -> tuple[DataFrame, DataFrame]:
