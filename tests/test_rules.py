@@ -49,7 +49,8 @@ SAMPLES = {
         ("Call +1 (415) 867-5309 now", ["+1 (415) 867-5309"]), ("(416) 967-1111", ["(416) 967-1111"]),
         ("+44 20 7946 0958 2026 report", ["+44 20 7946 0958"]), ("+81 3-1234-5678", ["+81 3-1234-5678"]),
         ("+33 1 42 68 53 00", ["+33 1 42 68 53 00"]), ("+61 2 9374 4000", ["+61 2 9374 4000"]), ("415-555-0123", ["415-555-0123"]),
-        ("+1 555 555 0100", []), ("123-456-7890", []), ("+886 912 345 678", []), ("2026-10-16", []),
+        ("+234 803 123 4567", ["+234 803 123 4567"]), ("+98 912 345 6789.", ["+98 912 345 6789"]), ("+212 612-345678", ["+212 612-345678"]),
+        ("+254 712 345678", ["+254 712 345678"]), ("+999 12345678", []), ("+1 555 555 0100", []), ("123-456-7890", []), ("+886 912 345 678", []), ("2026-10-16", []),
     ],
     "credit-card": [
         ("4242 4242 4242 4242.", ["4242 4242 4242 4242"]), ("5555-5555-5555-4444", ["5555-5555-5555-4444"]),

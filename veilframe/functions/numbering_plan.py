@@ -2,7 +2,8 @@
 
 Compiled from the public national numbering plans (North American Numbering Plan
 area-code assignments, Ofcom, ARCEP, BNetzA, ...). A number whose calling code is
-not listed is reported as not covered; callers can pass a wider plan.
+not listed is reported as not covered; callers can pass another plan. +886 is
+left to the rules for Taiwan's own numbers.
 ``0?`` stands where people write the trunk prefix after the calling code.
 """
 
@@ -80,6 +81,19 @@ NUMBERING_PLAN = {
     "977": r"0?(?:9[6-8]\d{8}|1\d{7}|[2-9]\d{7})",
 }
 
+# The other calling codes that are assigned by the ITU. No national rule is known here for them: a number is accepted with
+# 6 to 12 digits behind the code, as long as the plan allows.
+OTHER_CODES = (
+    "53 58 93 94 95 98 "
+    "211 212 213 216 218 220 221 222 223 224 225 226 227 228 229 230 231 232 233 234 235 236 237 238 239 240 241 242 243 244 "
+    "245 246 247 248 249 250 251 252 253 254 255 256 257 258 260 261 262 263 264 265 266 267 268 269 290 291 297 298 299 "
+    "350 355 356 357 359 370 371 372 373 374 375 376 377 378 379 381 382 383 385 386 387 389 423 "
+    "500 501 502 503 504 505 506 507 508 509 590 591 592 593 594 595 596 597 598 599 "
+    "670 672 673 674 675 676 677 678 679 680 681 682 683 685 686 687 688 689 690 691 692 "
+    "800 808 850 856 870 878 881 882 883 960 961 962 963 964 965 967 968 970 973 974 975 976 979 992 993 994 995 996 998"
+).split()
+NUMBERING_PLAN |= {code: r"\d{6,12}" for code in OTHER_CODES}
+
 # ITU calling codes by length: one digit, two digits, else three.
 CALLING_CODE = "(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[2-9][0-9]{2})"
 

@@ -2,41 +2,80 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.functions import fixed_values as fv
+from veilframe.functions.text import each, let
+
+# Cells in which boxes meet, in points: about the size of a form field.
+GRID = 128.0
+
+
+def _folded(text: Column) -> Column:
+    """Compatibility forms (full and half width, ligatures, circled digits) as their plain characters."""
+
+    @F.pandas_udf("string")
+    def plain(values: pd.Series) -> pd.Series:
+        return values.map(lambda t: t if t is None or t.isascii() else unicodedata.normalize("NFKC", t))
 
-# Fullwidth ASCII forms and the ideographic space count as their plain forms.
-_WIDE = "".join(chr(c) for c in range(0xFF01, 0xFF5F)) + chr(0x3000)
-_PLAIN = "".join(chr(c) for c in range(0x21, 0x7F)) + " "
-GRID = 512.0
+    return plain(text)
+
+
+def bag(text: Column) -> Column:
+    """The multiset of a text's characters, white space left out: ``array<struct<ch,n>>`` in order.
+
+    Counted inside the row: the sorted characters are cut into runs.
+    """
+    bare = F.regexp_replace(F.coalesce(text, F.lit("")), F.lit(fv.WS), F.lit(""))
+    ordered = F.array_join(F.array_sort(F.filter(F.split(bare, ""), lambda c: c != "")), "")
+    runs = F.regexp_extract_all(ordered, F.lit(r"(((?s:.))\2*)"), F.lit(1))
+    return F.transform(runs, lambda r: F.struct(F.left(r, F.lit(1)).alias("ch"), F.length(r).cast("long").alias("n")))
+
+
+def _bags(docs: DataFrame, key: str, text: str, into: str) -> DataFrame:
+    return docs.select(key, bag(_folded(F.col(text))).alias(into))
+
+
+def _counts(bag_: Column) -> Column:
+    return F.map_from_entries(bag_)
+
+
+def _total(bag_: Column) -> Column:
+    return F.aggregate(bag_, F.lit(0).cast("long"), lambda acc, x: acc + x["n"])
 
 
 def characters(docs: DataFrame, key: str, text: str = "text") -> DataFrame:
     """The multiset of characters of every document, white space left out: (key, ch, n)."""
-    narrow = F.when(F.col(text).rlike(r"[\x{ff01}-\x{ff5e}\x{3000}]"), F.translate(F.col(text), _WIDE, _PLAIN)).otherwise(F.col(text))
-    # Counting in the scan task first leaves one row per document and distinct character.
-    counts = docs.select(key, F.explode(F.split(narrow, "")).alias("ch")).groupBy(key, "ch").agg(F.count(F.lit(1)).alias("n"))
-    return counts.where((F.col("ch") != "") & ~F.col("ch").rlike(fv.WS))
+    return each(_bags(docs, key, text, "_bag"), "_bag", key, name="c").select(key, "c.*")
 
 
 def character_scores(truth: DataFrame, read: DataFrame, key: str, text: str = "text") -> DataFrame:
-    """Characters in the truth, in the reading, and in both, without regard to order."""
-    t = characters(truth, key, text).withColumnRenamed("n", "t")
-    r = characters(read, key, text).withColumnRenamed("n", "r")
-    tn, rn = F.coalesce("t", F.lit(0)), F.coalesce("r", F.lit(0))
-    both = t.join(r, [key, "ch"], "full").groupBy(key).agg(
-        F.sum(tn).alias("truth"), F.sum(rn).alias("read"), F.sum(F.least(tn, rn)).alias("same"))
+    """Characters in the truth, in the reading, and in both, without regard to order.
+
+    A document without a character on either side has no row. The two tables
+    meet once, a row for each document.
+    """
+    none = F.array().cast("array<struct<ch:string,n:bigint>>")
+    met = _bags(truth, key, text, "_t").join(_bags(read, key, text, "_r"), key, "full").select(
+        key, F.coalesce("_t", none).alias("_t"), F.coalesce("_r", none).alias("_r"))
+    same = let(_counts(F.col("_r")), lambda other: F.aggregate(F.transform("_t", lambda x: F.least(
+        x["n"], F.coalesce(F.try_element_at(other, x["ch"]), F.lit(0)))), F.lit(0).cast("long"), lambda acc, n: acc + n))
+    both = met.select(key, _total(F.col("_t")).alias("truth"), _total(F.col("_r")).alias("read"), same.alias("same")).where("truth + read > 0")
     return both.withColumn("recall", F.col("same") / F.greatest(F.col("truth"), F.lit(1))).withColumn(
         "precision", F.col("same") / F.greatest(F.col("read"), F.lit(1)))
 
 
 def character_difference(left: DataFrame, right: DataFrame, key: str, text: str = "text") -> DataFrame:
     """Characters ``left`` has more often than ``right``: (key, ch, n)."""
-    a, b = characters(left, key, text), characters(right, key, text).withColumnRenamed("n", "_m")
-    joined = a.join(b, [key, "ch"], "left").withColumn("n", F.col("n") - F.coalesce("_m", F.lit(0)))
-    return joined.where("n > 0").select(key, "ch", "n")
+    met = _bags(left, key, text, "_l").join(_bags(right, key, text, "_r"), key, "left")
+    more = let(_counts(F.coalesce("_r", F.array().cast("array<struct<ch:string,n:bigint>>"))), lambda other: F.filter(F.transform(
+        "_l", lambda x: F.struct(x["ch"].alias("ch"), (x["n"] - F.coalesce(F.try_element_at(other, x["ch"]), F.lit(0))).alias("n"))),
+        lambda x: x["n"] > 0))
+    return each(met.select(key, more.alias("_more")), "_more", key, name="c").select(key, "c.*")
 
 
 def value_hits(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
@@ -71,10 +110,10 @@ def false_alarms(truth: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 # -------------------------------------------------------------------- shapes
-def _cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column) -> Column:
+def _cells(low_x: Column, low_y: Column, high_x: Column, high_y: Column, size: float = GRID) -> Column:
     """The grid cells a box touches."""
-    xs = F.sequence(F.floor(low_x / GRID), F.floor(high_x / GRID))
-    ys = F.sequence(F.floor(low_y / GRID), F.floor(high_y / GRID))
+    xs = F.sequence(F.floor(low_x / size), F.floor(high_x / size))
+    ys = F.sequence(F.floor(low_y / size), F.floor(high_y / size))
     return F.flatten(F.transform(xs, lambda x: F.transform(ys, lambda y: F.struct(x.alias("gx"), y.alias("gy")))))
 
 
@@ -125,10 +164,12 @@ def checkbox_matches(truth: DataFrame, found: DataFrame, key: str, reach: float
         return df.select(key, F.col("box_id").alias(f"{tag}_id"), cx.alias(f"{tag}_x"), cy.alias(f"{tag}_y"),
                          F.col("checked").alias(f"{tag}_checked"))
 
+    # Cells of twice the reach: only boxes that can be near enough meet.
+    size = max(2 * reach, 1e-6)
     t = centred(truth, "t").withColumn("_cell", F.struct(
-        F.floor(F.col("t_x") / GRID).alias("gx"), F.floor(F.col("t_y") / GRID).alias("gy")))
+        F.floor(F.col("t_x") / size).alias("gx"), F.floor(F.col("t_y") / size).alias("gy")))
     f = centred(found, "f").withColumn("_cell", F.explode(_cells(
-        F.col("f_x") - reach, F.col("f_y") - reach, F.col("f_x") + reach, F.col("f_y") + reach)))
+        F.col("f_x") - reach, F.col("f_y") - reach, F.col("f_x") + reach, F.col("f_y") + reach, size)))
     near = t.join(f, [key, "_cell"]).where(F.hypot(F.col("t_x") - F.col("f_x"), F.col("t_y") - F.col("f_y")) <= reach)
     state = near.groupBy(key, F.col("t_id").alias("box_id")).agg(
         F.bool_or(F.col("t_checked") == F.col("f_checked")).alias("_right"))
@@ -151,7 +192,8 @@ def line_coverage(lines: DataFrame, by: DataFrame, key: str, slack: float = 3.0)
         return df.select(key, F.col("line_id").alias(f"{tag}_id"), flat.alias("flat"), at.alias(f"{tag}_at"),
                          low.alias(f"{tag}_low"), high.alias(f"{tag}_high"))
 
-    lane = lambda c: F.floor(c / GRID)
+    # Lanes of twice the slack: only lines that can be near enough across meet.
+    lane = lambda c: F.floor(c / max(2 * slack, 1e-6))
     a = laid(lines, "a").withColumn("_lane", lane(F.col("a_at")))
     b = laid(by, "b").withColumn("_lane", F.explode(F.sequence(lane(F.col("b_at") - slack), lane(F.col("b_at") + slack))))
     met = a.join(b, [key, "flat", "_lane"]).where(F.abs(F.col("a_at") - F.col("b_at")) <= slack)
