@@ -243,6 +243,23 @@ def test_large_files_are_refused_unread(spark, tmp_path, monkeypatch):
     assert "LessThanOrEqual(length,5)" in docs._jdf.queryExecution().toString()
 
 
+def test_keys_that_lose_every_draw_get_what_is_left(spark, monkeypatch):
+    monkeypatch.setattr(codes, "CODE_LENGTH", 2)
+    monkeypatch.setattr(codes, "CODES_PER_SCOPE", 256)
+    monkeypatch.setattr(codes, "ATTEMPTS", 2)
+    keys = spark.range(300).select(F.when(F.col("id") < 256, "full").otherwise("some").alias("scope"), F.lit("c").alias("category"), F.lit(0).alias("head"),
+                                   F.lit(0).alias("tail"), F.col("id").cast("string").alias("value"))
+    book = codes.allocate(keys, "s").collect()
+    assert len(book) == 300 and len({(x["scope"], x["code"]) for x in book}) == 300 and all(len(x["code"]) == 2 for x in book)
+
+
+def test_rules_that_do_not_compile_find_nothing(spark, docs):
+    bad = custom_rule("c-bad", "n", "識別碼", "(")
+    with pytest.warns(UserWarning, match="c-bad"):
+        found = item_table(detect(docs, rules=[bad, *builtin_rules("email")]), "doc_id").collect()
+    assert {x["rule_id"] for x in found} == {"email"}
+
+
 def test_more_disabled_rules_than_a_thousand(spark):
     table = rules_table(spark)
     off = spark.range(3000).select(F.concat(F.lit("other-"), "id").alias("id")).unionByName(table.select("id"))

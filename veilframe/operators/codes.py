@@ -23,6 +23,7 @@ from veilframe.functions.fixed_values import CODE_LENGTH
 from veilframe.functions.text import each, empty, let
 from veilframe.operators.detect import ITEM_COLUMNS, item_table
 from veilframe.operators.lookup import lookup
+from veilframe.operators.ranking import numbered_rows
 from veilframe.session import fits, materialize
 
 KEY = ["category", "head", "tail", "value"]
@@ -139,7 +140,8 @@ def allocate(keys: DataFrame, secret: str, imported: DataFrame | None = None) ->
     Keys of ``imported`` (a mapping table) keep their codes, and no new key gets
     a code of that table. Each round hashes the open keys once more; of several
     keys with one hash the first wins, the rest try again. All but a few keys
-    are settled in the first round.
+    are settled in the first round; those that lose every draw, in a scope that
+    is nearly full, get the codes that are left.
     """
     ids = ["scope", *KEY]
     columns = [*ids, "code"]
@@ -177,13 +179,26 @@ def allocate(keys: DataFrame, secret: str, imported: DataFrame | None = None) ->
         used = winners.select("scope", "code")
         taken = used if taken is None else taken.unionByName(used)
     else:
-        raise ValueError("no free code left")
+        settled.append(materialize(_from_free_codes(open_keys, taken), "codes-rest"))
     book = settled[0]
     for part in settled[1:]:
         book = book.unionByName(part)
     return book
 
 
+def _from_free_codes(open_keys: DataFrame, taken: DataFrame) -> DataFrame:
+    """Codes for keys that lost every draw, in a scope that is nearly full: the scope's free codes in order, by rank."""
+    ranked = numbered_rows(open_keys, ["scope"], KEY, "_n")
+    wanted = materialize(ranked.groupBy("scope").agg(F.max("_n").alias("_most")), "scopes-with-rest")
+    side = 16 ** (CODE_LENGTH // 2)
+    high, low = F.sequence(F.lit(0), F.lit(CODES_PER_SCOPE // side - 1)), F.sequence(F.lit(0), F.lit(side - 1))
+    every = wanted.select("scope", F.explode(high).alias("_h")).select("scope", "_h", F.explode(low).alias("_l")).select(
+        "scope", F.lower(F.lpad(F.hex(F.col("_h") * side + F.col("_l")), CODE_LENGTH, "0")).alias("code"))
+    free = numbered_rows(every.join(taken.distinct(), ["scope", "code"], "left_anti"), ["scope"], ["code"], "_n")
+    needed = free.join(wanted, "scope").where("_n <= _most").select("scope", "_n", "code")
+    return ranked.join(needed, ["scope", "_n"]).select("scope", *KEY, "code")
+
+
 def code_shared(docs: DataFrame, key: str, secret: str, scope: Column | None = None,
                 imported: DataFrame | None = None, items: str = "items") -> tuple[DataFrame, DataFrame]:
     """Codes shared by all documents of a scope; gives (documents, code book).
@@ -210,6 +225,8 @@ def code_shared(docs: DataFrame, key: str, secret: str, scope: Column | None = N
         return F.transform(xs, lambda i: _with_code(i, F.coalesce(
             F.get(F.filter(patch, lambda e: e["key"] == key_of(i)), F.lit(0))["code"], i["code"])))
 
-    joined = plain.join(patches, key, "left")
+    # Few patches are broadcast, and the texts stay where they are.
+    patches = materialize(patches, "patches")
+    joined = plain.join(F.broadcast(patches) if fits(patches) else patches, key, "left")
     return joined.withColumn(items, F.when(F.col("_patch").isNull(), F.col(items)).otherwise(
         patched(F.col(items), F.col("_patch")))).drop("_patch"), book

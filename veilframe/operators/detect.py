@@ -8,11 +8,11 @@ move the text.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Iterable
 from functools import lru_cache, reduce
 
-from pyspark import SparkContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.fixed_values import MARKER as MARKER_PATTERN
@@ -20,7 +20,7 @@ from veilframe.functions.retention import NONE, STANDARD, Retention, split, spli
 from veilframe.functions.text import (
     accept, each, empty, exact_values, fenced, let, matches_everywhere_in, matches_in, pieces, pieces_everywhere, resolve_overlaps,
 )
-from veilframe.operators.rules import BUILTIN_RULES, HAN, Rule
+from veilframe.operators.rules import BUILTIN_RULES, HAN, Rule, regex_problem
 
 CANDIDATE = "struct<start:int,end:int,rule_ord:int,rule_id:string,category:string,value:string>"
 ITEM = ("struct<start:int,end:int,rule_ord:int,rule_id:string,category:string,value:string,"
@@ -144,11 +144,13 @@ def detect(docs: DataFrame, rules: Iterable[Rule] | None = None, text: str = "te
            overrides: dict[str, Retention] | None = None, into: str = "items") -> DataFrame:
     """Add an ``items`` array column to documents (null texts have no items).
 
+    A user's rule whose regex can't be compiled finds nothing; a warning names it.
     The steps are columns of their own, so that the analyzer never meets one
     very deep expression; the optimizer joins them again.
     """
-    chosen = tuple(BUILTIN_RULES if rules is None else rules)
-    found, kept, cut = _steps(SparkContext._active_spark_context, text, chosen, mode, tuple(sorted((overrides or {}).items())))
+    spark = docs.sparkSession
+    chosen = tuple(r for r in (BUILTIN_RULES if rules is None else rules) if _usable(spark, r))
+    found, kept, cut = _steps(spark, text, chosen, mode, tuple(sorted((overrides or {}).items())))
     steps = docs.withColumn(_FOUND, found).withColumn(_KEPT, kept)
     return steps.withColumn(into, cut).drop(_FOUND, _KEPT)
 
@@ -156,8 +158,20 @@ def detect(docs: DataFrame, rules: Iterable[Rule] | None = None, text: str = "te
 _FOUND, _KEPT = "_candidates", "_spans"
 
 
+def _usable(spark: SparkSession, rule: Rule) -> bool:
+    if rule.source == "builtin" or not rule.enabled or _problem(spark, rule.regex) != "invalid":
+        return True
+    warnings.warn(f"rule {rule.id} is left out: its regex can't be compiled", stacklevel=3)
+    return False
+
+
+@lru_cache(maxsize=4096)
+def _problem(spark: SparkSession, regex: str) -> str | None:
+    return regex_problem(spark, regex)
+
+
 @lru_cache(maxsize=64)
-def _steps(context: SparkContext, text: str, rules: tuple[Rule, ...], mode: str,
+def _steps(spark: SparkSession, text: str, rules: tuple[Rule, ...], mode: str,
            overrides: tuple[tuple[str, Retention], ...]) -> tuple[Column, Column, Column]:
     """The expressions of detection; built once per session, rule set and mode, as they have many nodes."""
     found = candidates(F.coalesce(F.col(text), F.lit("")), rules)

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilframe.operators.lookup import lookup
 from veilframe.operators.ranking import running_sum
 from veilframe.session import materialize
 
@@ -89,7 +90,8 @@ def unique_names(rows: DataFrame, name: str, order: list[str], into: str = "uniq
         number = F.col("_rank")
     else:
         jumps = skips.select("_name", F.filter("_fate", lambda f: ~f["lost"]).alias("_jumps"))
-        out = out.join(lost, "_name", "left").join(jumps, "_name", "left")
+        # One name may hold most rows: such names are answered by a broadcast.
+        out = lookup(lookup(out, lost, ["_name"]), jumps, ["_name"])
         start = F.col("_rank") + F.coalesce("_offset", F.lit(0))
         number = F.coalesce(F.aggregate("_jumps", start, lambda n, f: F.when(f["k"] <= n, n + 1).otherwise(n)), start)
     named = out.select("_place", numbered(F.col("_name"), number).alias(into))

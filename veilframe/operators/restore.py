@@ -44,11 +44,13 @@ def restore(docs: DataFrame, mapping: DataFrame, key: str, text: str = "redacted
     """Put hidden parts back. Unknown markers stay as they are.
 
     ``mapping`` has one row per (scope, code); without ``scope`` each document
-    has its own.
+    has its own. Only texts with markers are moved to meet their edits.
     """
-    known = matched_markers(docs, mapping, key, text, scope).where("original is not null")
+    marked = F.coalesce(F.col(text).rlike(fv.MARKER), F.lit(False))
+    some = docs.where(marked)
+    known = matched_markers(some, mapping, key, text, scope).where("original is not null")
     edits = known.select(key, "start", "end", F.col("original").alias("replacement"))
-    return apply_edits(docs, edits, key, text, into)
+    return apply_edits(some, edits, key, text, into).unionByName(docs.where(~marked).withColumn(into, F.col(text)))
 
 
 def restore_report(docs: DataFrame, mapping: DataFrame, key: str, text: str = "redacted",

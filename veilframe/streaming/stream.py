@@ -9,7 +9,8 @@ from __future__ import annotations
 
 from collections.abc import Callable, Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilframe.functions.retention import Retention
@@ -18,6 +19,19 @@ from veilframe.operators.detect import detect
 from veilframe.operators.redact import MAPPING_COLUMNS, mapping_shared, redact
 from veilframe.operators.rules import Rule
 from veilframe.plans.pipelines import deidentify
+from veilframe.session import materialize
+
+
+def _earlier(spark: SparkSession, path: str, batch_id: int) -> DataFrame | None:
+    """The mapping rows of the batches before, or None where there is no table yet."""
+    try:
+        table = spark.read.parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+    rows = table.where(F.col("batch") < batch_id).drop("batch").withColumn("line_no", F.monotonically_increasing_id())
+    return None if rows.isEmpty() else rows
 
 
 def deidentify_stream(docs: DataFrame, key: str = "doc_id", rules: Iterable[Rule] | None = None, style: str = "label",
@@ -32,19 +46,16 @@ def continuing_batches(folder: str, secret: str, key: str = "doc_id", rules: Ite
     """A ``foreachBatch`` function whose codes continue from batch to batch.
 
     Batch n writes ``mapping/batch=n`` and ``documents/batch=n`` under
-    ``folder``; codes of the batches before are reused. A repeated batch
-    overwrites its own output and reads only earlier ones, so a retry gives
-    the same result.
+    ``folder``, one table each with a batch column; codes of the batches before
+    are reused, and batches without output may be missing. A repeated batch
+    overwrites its own output and reads only earlier ones, so a retry gives the
+    same result. Texts are scanned once.
     """
     rules = None if rules is None else list(rules)
 
     def run(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        known = None
-        if batch_id > 0:
-            paths = [f"{folder}/mapping/batch={n}" for n in range(batch_id)]
-            known = spark.read.parquet(*paths).withColumn("line_no", F.monotonically_increasing_id())
-        found = detect(batch, rules, text, mode)
+        known = _earlier(batch.sparkSession, f"{folder}/mapping", batch_id)
+        found = materialize(detect(batch, rules, text, mode), "stream-items")
         coded, _ = code_shared(found, key, secret, imported=known)
         mapping = mapping_shared(coded, key)
         if known is not None:
