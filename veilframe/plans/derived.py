@@ -107,6 +107,18 @@ SQL = {
           || case when o_orderkey % 7 = 0 then '13' else substr(cast(o_orderdate as string), 6, 2) end || '-'
           || substr(cast(o_orderdate as string), 9, 2) || ' end' as text
         from {orders}""",
+    # Phone numbers of several countries; every seventh has a calling code that is not assigned.
+    "phone_lines": f"""
+        select id, 'Call ' || p || ' today' as text from (
+          select c_custkey as id, '+' || {_pick(['234', '98', '212', '254', '380', '48', '999'], 'c_custkey')} || ' 7' || substr(m8, 1, 2) || ' '
+            || substr(m8, 3, 3) || ' ' || substr(m8, 6, 3) as p
+          from (select c_custkey, lpad(cast(c_custkey * 7919 % 100000000 as string), 8, '0') as m8 from {{customer}}) a) b""",
+    # Whole web pages, tags and scripts included.
+    "page_lines": "select page_id as id, html as text from {pages}",
+    # Private-use characters around and inside values.
+    "private_use_lines": f"""
+        select c_custkey as id, '{chr(0xE000)}ID-{chr(0xE001)}' || cast(c_custkey as string) || '{chr(0xE002)} user' || cast(c_custkey as string)
+          || '@x.tw{chr(0xE003)}' as text from {{customer}}""",
     # A Chinese customer record: name, mobile, landline, address, company.
     "record_lines": f"""
         select c_custkey as id, '客戶：' || nm || '先生，手機 ' || mob || '，電話 ' || tel || '。地址：' || addr || '；任職「' || comp || '」。' as text,

@@ -99,6 +99,8 @@ for _name, _rule, _lines, _sql in [
     ("detect_ipv6", "ipv6", "ipv6_lines", line_items("ipv6_lines", "[^ ]+", "IP", where=_ipv6_ok)),
     ("detect_dob", "dob", "dob_lines", behind(
         "dob_lines", "DOB: |Date of Birth |出生日期：", "[0-9]{4}-[0-9]{2}-[0-9]{2}", "生日", _date_ok)),
+    ("detect_phone_countries", "intl-phone", "phone_lines", line_items("phone_lines", "[+][0-9]+(?: [0-9]+)+", "國際電話", where="v not like '+999%'")),
+    ("detect_email_in_pages", "email", "page_lines", o.email_items(derived_sql("page_lines"))),
     ("detect_tw_mobile", "tw-mobile", "record_lines", line_items("record_lines", _MOBILE, "手機")),
     ("detect_landline", "tw-landline", "record_lines", behind("record_lines", "電話 ", _LANDLINE, "市話")),
     ("detect_address", "tw-address", "record_lines", line_items("record_lines", _ADDRESS, "地址")),

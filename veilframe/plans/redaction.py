@@ -275,6 +275,16 @@ def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
     return restore(docs.select("id", "redacted"), mapping, "id").select("id", "restored")
 
 
+@query("restore_private_use", f"select id, text as restored, true as hidden from {derived_sql('private_use_lines')} as d")
+def restore_private_use(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values with private-use characters are hidden and come back as they were."""
+    docs = derived(spark, sf_dir, "private_use_lines").select("id", "text")
+    rules = [*builtin_rules("email"), custom_rule("c-1", "id", "識別碼", r"ID-.\d+")]
+    done = deidentify_with_mapping(docs, "id", rules, secret=SECRET)
+    hidden = ~F.col("redacted").contains("ID-") & ~F.col("redacted").contains("@")
+    return restore(done.documents.select("id", "redacted"), done.mapping, "id").select("id", "restored", hidden.alias("hidden"))
+
+
 @query("restore_missing", f"select distinct id, {o.code_sql('id')} as code from ({PARTIAL}) as it where category = 'IP'")
 def restore_missing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Codes without a row in the table, here a table that lost its IP rows."""
