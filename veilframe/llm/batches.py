@@ -21,10 +21,11 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.memory import lean, lean_group
 from veilframe.llm.tokens import text_slices
 from veilframe.session import shared_folder
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 BOX_BYTES = 16 << 20  # text for each box
 
 
@@ -66,7 +67,7 @@ class Batches:
         self.boxes = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-total // box_bytes))
         name = f"batches_{uuid.uuid4().hex}"
         path = f"{shared_folder(spark).rstrip('/')}/veilframe/{name}"
-        docs.mapInArrow(pack, "batch long, data binary").write.bucketBy(self.boxes, "batch").option("path", path).saveAsTable(name)
+        docs.mapInArrow(lean(pack), "batch long, data binary").write.bucketBy(self.boxes, "batch").option("path", path).saveAsTable(name)
         self.table = spark.table(name)
 
     def send(self, answers: list[DataFrame], write: Callable[[pa.Table, list[list[bytes]]], Iterator[tuple[int, bytes]]]) -> DataFrame:
@@ -83,7 +84,7 @@ class Batches:
                             pa.array([b for b, _ in sent], pa.int64()), pa.array([rows["batch"][i].as_py()] * len(sent), pa.int64()),
                             pa.array([d for _, d in sent], pa.binary())], names=["box", "batch", "data"])
 
-        return self._with(answers).mapInArrow(run, "box long, batch long, data binary")
+        return self._with(answers).mapInArrow(lean(run), "box long, batch long, data binary")
 
     def read(self, answers: list[DataFrame], make: Callable[[pa.Table, list[list[bytes]]], Iterator[pa.RecordBatch]], schema: str) -> DataFrame:
         """The rows that ``make`` makes of every batch's documents and answers."""
@@ -95,7 +96,7 @@ class Batches:
                     known = [rows[f"a{n}"][i].as_py() or [] for n in range(count)]
                     yield from make(opened_batch(rows["data"][i].as_buffer()), known)
 
-        return self._with(answers).mapInArrow(run, schema)
+        return self._with(answers).mapInArrow(lean(run), schema)
 
     def _with(self, answers: list[DataFrame]) -> DataFrame:
         rows = self.table
@@ -112,7 +113,7 @@ def answered(sent: DataFrame, answer: Callable[[list[bytes]], list[bytes]]) -> D
         keep = [i for i, x in enumerate(found) if x]
         return pd.DataFrame({"batch": rows["batch"].to_numpy()[keep], "data": [found[i] for i in keep]})
 
-    return sent.groupBy("box").applyInPandas(run, "batch long, data binary")
+    return sent.groupBy("box").applyInPandas(lean_group(run), "batch long, data binary")
 
 
 def by_box(boxes: np.ndarray, count: int) -> Iterator[tuple[int, np.ndarray]]:

@@ -9,6 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.memory import lean
 from veilframe.session import materialize
 
 # Links that one task unites at a time.
@@ -67,7 +68,7 @@ def components(links: DataFrame) -> DataFrame:
     neighbours are gathered: the smallest comes from an aggregation and goes
     back by a join, and rounds are tables in the shared folder.
     """
-    united_links = links.where("a <> b").mapInArrow(_unite_batches, "a long, b long")
+    united_links = links.where("a <> b").mapInArrow(lean(_unite_batches), "a long, b long")
     state = materialize(_oriented(united_links), "links")
     while True:
         before = state.agg(F.count(F.lit(1)), F.sum(F.hash("big", "small").cast("long"))).first()

@@ -18,6 +18,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.memory import lean
 from veilframe.llm.tokens import text_slices
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -534,4 +535,4 @@ def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataF
                     [*(rows[c] for c in names), pa.array([render(p) for p in rows["_vf_page"].to_pylist()], pa.string())], names=[*names, into])
 
     kinds = "".join(f"`{c}` {t}, " for c, t in carry.dtypes)
-    return own.mapInArrow(run, f"{kinds}`{into}` string")
+    return own.mapInArrow(lean(run), f"{kinds}`{into}` string")

@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.memory import lean
 from veilframe.llm.tokens import WordTokenizer, text_slices
 from veilframe.operators.ranking import numbered_rows
 from veilframe.session import materialize
@@ -147,7 +148,7 @@ def token_pieces(docs: DataFrame, tokenizer: str, capacity: int, end_id: int | N
                 ], names=["doc_id", "piece", "start", "length", "ids_crc32", "ids"])
 
     schema = "doc_id long, piece int, start long, length long, ids_crc32 long, ids binary"
-    return materialize(own.mapInArrow(cut, schema), "pieces")
+    return materialize(own.mapInArrow(lean(cut), schema), "pieces")
 
 
 def pack(pieces: DataFrame, capacity: int) -> DataFrame:
@@ -176,7 +177,7 @@ def pack(pieces: DataFrame, capacity: int) -> DataFrame:
                 names=[*names, "sequence_id", "offset"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in slim.dtypes)
-    return ranked.mapInArrow(place, f"{kinds}, sequence_id long, offset long")
+    return ranked.mapInArrow(lean(place), f"{kinds}, sequence_id long, offset long")
 
 
 def sequences(pieces: DataFrame, placed: DataFrame) -> DataFrame:

@@ -21,6 +21,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from veilframe.llm.memory import lean
 from veilframe.llm.tokens import text_slices
 
 # Bounds of what is fitted on: labelled documents, and documents of the pool for pseudo-labels.
@@ -184,7 +185,7 @@ def features(docs: DataFrame) -> DataFrame:
             yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(list(text), pa.list_(pa.float64())), pa.array(list(page), pa.list_(pa.float64()))],
                                              names=["doc_id", "text_view", "page_view"])
 
-    return _own(docs).mapInArrow(made, "doc_id long, text_view array<double>, page_view array<double>")
+    return _own(docs).mapInArrow(lean(made), "doc_id long, text_view array<double>, page_view array<double>")
 
 
 def _own(docs: DataFrame) -> DataFrame:
@@ -238,4 +239,4 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
             yield pa.RecordBatch.from_arrays([*(rows[c] for c in names), *(pa.array(x) for x in model.score(text, page))], names=[*names, "p_text", "p_page", "score"])
 
     kinds = ", ".join(f"`{c}` {t}" for c, t in carry.dtypes)
-    return carry.mapInArrow(run, f"{kinds}, p_text double, p_page double, score double")
+    return carry.mapInArrow(lean(run), f"{kinds}, p_text double, p_page double, score double")

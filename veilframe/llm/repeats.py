@@ -38,7 +38,7 @@ from veilframe.session import materialize
 LENGTH = 50
 SEED = 24
 PHRASE_BITS = 7  # triggers come every 2**7 bytes, about
-SLICE = 1 << 21  # bytes that are hashed at a time
+SLICE = 1 << 20  # bytes that are hashed at a time
 BASE = np.uint64(0x9E3779B97F4A7C15)
 MIX = np.uint64(0xD6E8FEB86659FD93)
 PLACE = np.uint64((1 << 24) - 1)

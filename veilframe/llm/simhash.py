@@ -23,6 +23,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.graph import components, united
+from veilframe.llm.memory import lean
 from veilframe.llm.tokens import text_slices
 from veilframe.operators.lookup import lookup
 from veilframe.session import materialize
@@ -78,7 +79,7 @@ def fingerprints(docs: DataFrame, words: int = 3, seed: int = SEED) -> DataFrame
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], pa.array(np.array(found, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    return own.mapInArrow(made, "doc_id long, fp long")
+    return own.mapInArrow(lean(made), "doc_id long, fp long")
 
 
 def _column_codes() -> np.ndarray:
@@ -136,8 +137,8 @@ def near_links(distinct: DataFrame) -> DataFrame:
             _, row, half, anchor = homes_and_guests(fp)
             yield pa.RecordBatch.from_arrays([pa.array(anchor * 2 + half), pa.array(fp[row])], names=["anchor", "guest"])
 
-    home = materialize(distinct.mapInArrow(homes, "anchor long, home long"), "homes")
-    guest = distinct.mapInArrow(guests, "anchor long, guest long")
+    home = materialize(distinct.mapInArrow(lean(homes), "anchor long, home long"), "homes")
+    guest = distinct.mapInArrow(lean(guests), "anchor long, guest long")
     counts = materialize(home.groupBy("anchor").agg(F.count(F.lit(1)).alias("homes")), "anchors")
     # Guests at anchors where nobody is at home meet nobody.
     placed = materialize(guest.join(counts, "anchor"), "guests")
@@ -254,7 +255,7 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
                 yield pa.RecordBatch.from_arrays([rows["doc_id"], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names)))], names=["doc_id", *names])
 
     own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = materialize(own.mapInArrow(made, "doc_id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
+    prints = materialize(own.mapInArrow(lean(made), "doc_id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
     distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
     nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
     roots = materialize(components(_similar_links(nodes, bits_apart(similarity))), "roots")
@@ -288,8 +289,8 @@ def _similar_links(nodes: DataFrame, most: int) -> DataFrame:
                                                  names=["anchor", "guest", "guest_block"])
 
     slim = nodes.select("node", *candidate)
-    home = materialize(slim.mapInArrow(homes, "anchor long, home long, block long"), "homes")
-    guest = slim.mapInArrow(guests, "anchor long, guest long, guest_block long")
+    home = materialize(slim.mapInArrow(lean(homes), "anchor long, home long, block long"), "homes")
+    guest = slim.mapInArrow(lean(guests), "anchor long, guest long, guest_block long")
     counts = materialize(home.groupBy("anchor").agg(F.count(F.lit(1)).alias("homes"), F.min("home").alias("one")), "anchors")
     # A guest that is alone at home at an anchor meets nobody there.
     placed = materialize(guest.join(counts, "anchor").where("homes > 1 or one <> guest").drop("one"), "guests")

@@ -33,6 +33,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from veilframe.llm.memory import lean
 from veilframe.llm.tokens import WordTokenizer, text_slices
 from veilframe.session import materialize, shared_folder
 
@@ -181,7 +182,7 @@ def write_tokens(docs: DataFrame, path: str, tokenizer: str, end_id: int | None
 
     laid = own.repartitionByRange(parts, "doc_id").sortWithinPartitions("doc_id")
     # The text writer puts a string's bytes down as they are.
-    laid.mapInArrow(encode, "segment binary").select(F.col("segment").cast("string")).write.text(path)
+    laid.mapInArrow(lean(encode), "segment binary").select(F.col("segment").cast("string")).write.text(path)
 
 
 def read_tokens(spark: SparkSession, path: str) -> DataFrame:
@@ -205,7 +206,7 @@ def read_tokens(spark: SparkSession, path: str) -> DataFrame:
                     ], names=["doc_id", "n_tokens", "ids_crc32", "part", "segment", "place"])
 
     files = spark.read.format("binaryFile").load(path).select("content")
-    rows = materialize(files.mapInArrow(decode, "doc_id long, n_tokens long, ids_crc32 long, part long, segment long, place long"), "tokens")
+    rows = materialize(files.mapInArrow(lean(decode), "doc_id long, n_tokens long, ids_crc32 long, part long, segment long, place long"), "tokens")
     # One row for each segment, however many documents there are.
     before = Window.orderBy("part", "segment").rowsBetween(Window.unboundedPreceding, -1)
     bases = rows.groupBy("part", "segment").agg(F.sum("n_tokens").alias("n")).select(

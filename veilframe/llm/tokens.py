@@ -12,7 +12,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 # Text that is held as words at one time, in bytes.
-SLICE_BYTES = 8 << 20
+SLICE_BYTES = 4 << 20
 # Byte-level vocabularies spell a byte as its Latin-1 character, but for the bytes that are no printable
 # character there; those above 127 follow one another from U+0122.
 BYTE_SIGNS = {b: 0x122 + i for i, b in enumerate([*range(0x80, 0xA1), 0xAD])}
@@ -30,7 +30,7 @@ class WordTokenizer:
     All other words take all steps of the tokenizer.
     """
 
-    def __init__(self, path: str, keep: int = 600_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
