@@ -40,7 +40,10 @@ LONG_WORDS = 4
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 # Bits of the deciding fingerprint that a pair may differ beyond the expected number.
 TOLERANCE = 4
-LONG_CROWDED = 64
+LONG_CROWDED = 24
+# Bits in which the first 64 of the deciding fingerprint may differ for a pair to be looked at further: a similarity of 0.8
+# is expected at 10, unrelated texts at 32, with a spread of 3 and 4.
+FIRST_LOOK = 20
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
@@ -240,9 +243,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     The share of differing bits of a SimHash estimates the angle between two
     texts' shingles; pairs are linked whose estimate is at least ``similarity``
-    (Jaccard). Candidates are pairs that differ in at most one bit in one of
-    eight 32-bit blocks of a fingerprint of words and word pairs, which meet at
-    anchors as for :func:`near_duplicates`. Equal texts are always linked.
+    (Jaccard). Candidates meet at anchors as for :func:`near_duplicates`, by
+    eight 32-bit blocks of a fingerprint of words and word pairs: all pairs that
+    differ in at most one bit of one block do. Equal texts are always linked.
     Rules for null ids and texts and for repeated rows are those of
     :func:`near_duplicates`.
     """
@@ -273,28 +276,25 @@ def _similar_links(nodes: DataFrame, most: int) -> DataFrame:
     def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, name in enumerate(candidate):
-                fp = np.asarray(batch[name])
-                found = homes_and_guests(fp)[0]
+                found = homes_and_guests(np.asarray(batch[name]))[0]
                 for half in (0, 1):
-                    block = (fp.view(np.uint64) >> np.uint64(32 * half)).astype(np.int64) & 0xFFFFFFFF
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, half] * 8 + 2 * w + half), batch["node"], pa.array(block)], names=["anchor", "home", "block"])
+                    yield pa.RecordBatch.from_arrays([pa.array(found[:, half] * 8 + 2 * w + half), batch["node"], batch[deciding[0]]], names=["anchor", "home", "look"])
 
     def guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w, name in enumerate(candidate):
-                fp = np.asarray(batch[name])
-                _, row, half, anchor = homes_and_guests(fp)
-                block = (fp.view(np.uint64)[row] >> (np.uint64(32) * half.astype(np.uint64))).astype(np.int64) & 0xFFFFFFFF
-                yield pa.RecordBatch.from_arrays([pa.array(anchor * 8 + 2 * w + half), batch["node"].take(pa.array(row)), pa.array(block)],
-                                                 names=["anchor", "guest", "guest_block"])
-
-    slim = nodes.select("node", *candidate)
-    home = materialize(slim.mapInArrow(lean(homes), "anchor long, home long, block long"), "homes")
-    guest = slim.mapInArrow(lean(guests), "anchor long, guest long, guest_block long")
+                _, row, half, anchor = homes_and_guests(np.asarray(batch[name]))
+                row = pa.array(row)
+                yield pa.RecordBatch.from_arrays([pa.array(anchor * 8 + 2 * w + half), batch["node"].take(row), batch[deciding[0]].take(row)],
+                                                 names=["anchor", "guest", "guest_look"])
+
+    slim = nodes.select("node", *candidate, deciding[0])
+    home = materialize(slim.mapInArrow(lean(homes), "anchor long, home long, look long"), "homes")
+    guest = slim.mapInArrow(lean(guests), "anchor long, guest long, guest_look long")
     counts = materialize(home.groupBy("anchor").agg(F.count(F.lit(1)).alias("homes"), F.min("home").alias("one")), "anchors")
     # A guest that is alone at home at an anchor meets nobody there.
     placed = materialize(guest.join(counts, "anchor").where("homes > 1 or one <> guest").drop("one"), "guests")
-    few = placed.where(F.col("homes") <= LONG_CROWDED).join(home, "anchor").where("guest <> home and bit_count(guest_block ^ block) <= 1")
+    few = placed.where(F.col("homes") <= LONG_CROWDED).join(home, "anchor").where(f"guest <> home and bit_count(guest_look ^ look) <= {FIRST_LOOK}")
     pairs = materialize(few.select(F.greatest("guest", "home").alias("a"), F.least("guest", "home").alias("b")).distinct(), "pairs")
     side = lambda key: nodes.select(F.col("node").alias(key), *(F.col(d).alias(f"{key}_{d}") for d in deciding))
     apart = " + ".join(f"bit_count(a_{d} ^ b_{d})" for d in deciding)
