@@ -40,7 +40,8 @@ LONG_WORDS = 4
 MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
 # Bits of the deciding fingerprint that a pair may differ beyond the expected number.
 TOLERANCE = 4
-LONG_CROWDED = 24
+# Homes times guests of an anchor, from which it is compared in tiles.
+LONG_CROWDED = 512
 # Bits in which the first 64 of the deciding fingerprint may differ for a pair to be looked at further: a similarity of 0.8
 # is expected at 10, unrelated texts at 32, with a spread of 3 and 4.
 FIRST_LOOK = 20
@@ -294,14 +295,16 @@ def _similar_links(nodes: DataFrame, most: int) -> DataFrame:
     counts = materialize(home.groupBy("anchor").agg(F.count(F.lit(1)).alias("homes"), F.min("home").alias("one")), "anchors")
     # A guest that is alone at home at an anchor meets nobody there.
     placed = materialize(guest.join(counts, "anchor").where("homes > 1 or one <> guest").drop("one"), "guests")
-    few = placed.where(F.col("homes") <= LONG_CROWDED).join(home, "anchor").where(f"guest <> home and bit_count(guest_look ^ look) <= {FIRST_LOOK}")
+    met = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("guests"), F.first("homes").alias("_homes"))
+    busy = materialize(met.where(F.col("guests") * F.col("_homes") > LONG_CROWDED).select("anchor", "guests"), "busy")
+    few = placed.join(busy, "anchor", "left_anti").join(home, "anchor").where(f"guest <> home and bit_count(guest_look ^ look) <= {FIRST_LOOK}")
     pairs = materialize(few.select(F.greatest("guest", "home").alias("a"), F.least("guest", "home").alias("b")).distinct(), "pairs")
     side = lambda key: nodes.select(F.col("node").alias(key), *(F.col(d).alias(f"{key}_{d}") for d in deciding))
     apart = " + ".join(f"bit_count(a_{d} ^ b_{d})" for d in deciding)
     near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {most}").select("a", "b")
 
-    at_crowd = placed.where(F.col("homes") > LONG_CROWDED)
-    tiles = materialize(at_crowd.groupBy("anchor", "homes").agg(F.count(F.lit(1)).alias("guests")).select(
+    at_crowd = placed.join(busy, "anchor")
+    tiles = materialize(at_crowd.select("anchor", "homes", "guests").distinct().select(
         "anchor", F.ceil(F.col("homes") / TILE).alias("home_tiles"), F.ceil(F.col("guests") / TILE).alias("guest_tiles")), "tiles")
     tile = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
     zero = F.lit(0).cast("long")
