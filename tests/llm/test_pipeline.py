@@ -153,3 +153,43 @@ def test_bits_follow_similarity():
     assert simhash.bits_apart(1.0) == simhash.TOLERANCE
     assert simhash.bits_apart(0.8) < simhash.bits_apart(0.5) < 128
     assert packing.plan_bins({}, 10) == []
+
+
+def words_of(draw, n):
+    return ["".join(draw.choices("abcdefghijklmnop", k=draw.randint(3, 8))) for _ in range(n)]
+
+
+def groups_of(spark, texts):
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    return {r.doc_id: r.component_id for r in simhash.similar_documents(df).collect()}
+
+
+def jaccard(a, b):
+    a, b = shingles(a), shingles(b)
+    return len(a & b) / len(a | b)
+
+
+def plain_groups(texts):
+    """Smallest reachable number by links of at least 0.8, every pair compared."""
+    root = list(range(len(texts)))
+    sets = [shingles(t) for t in texts]
+    for i in range(len(texts)):
+        for j in range(i):
+            if len(sets[i] & sets[j]) / len(sets[i] | sets[j]) >= 0.8 and root[i] != root[j]:
+                low, high = sorted((root[i], root[j]))
+                root = [low if r == high else r for r in root]
+    return dict(enumerate(root))
+
+
+def test_repeated_line_links_nothing(spark):
+    """Two documents that repeat one line aren't alike by it."""
+    import random
+
+    draw = random.Random(7)
+    line = words_of(draw, 8)
+    texts = []
+    for times in (20, 40) * 10:
+        own = words_of(draw, 200)
+        texts.append(" ".join(own[:100] + line * times + own[100:]))
+    assert max(jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i]) < 0.1
+    assert groups_of(spark, texts) == {i: i for i in range(len(texts))}

@@ -13,7 +13,7 @@ tile hands on just enough links to hold its components together.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -25,8 +25,8 @@ from pyspark.sql import functions as F
 from veilframe.llm.graph import components, united
 from veilframe.llm.memory import lean
 from veilframe.llm.tokens import text_slices
-from veilframe.operators.lookup import lookup
-from veilframe.session import materialize
+from veilframe.operators.lookup import HOT_SHARE, lookup
+from veilframe.session import fits, materialize
 
 BITS = 2
 RADIUS = 1
@@ -34,17 +34,19 @@ SEED = 42
 # Homes of an anchor, from which it is compared in tiles, and fingerprints of a tile.
 CROWDED = 256
 TILE = 2048
-# Longer fingerprints, for similarities that two bits of 64 can't tell: 256 bits from words and pairs of words, by whose
-# 32-bit blocks candidates meet at anchors, and 256 bits from the shingles, which decide.
+# 256 bits in which the distance of fingerprints of the given similarity is expected, and what is allowed beyond it.
 LONG_WORDS = 4
-MIXERS = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], np.uint64)
-# Bits of the deciding fingerprint that a pair may differ beyond the expected number.
 TOLERANCE = 4
-# Homes times guests of an anchor, from which it is compared in tiles.
+# Documents with one shingle, from which they are compared with single documents before they are with each other.
 LONG_CROWDED = 512
-# Bits in which the first 64 of the deciding fingerprint may differ for a pair to be looked at further: a similarity of 0.8
-# is expected at 10, unrelated texts at 32, with a spread of 3 and 4.
-FIRST_LOOK = 20
+# Documents in which common shingles are counted, how many of them make a shingle common, and the most that are named.
+SAMPLE = 4_000
+COMMON = 4
+MOST_COMMON = 50_000
+# Shares that the comparisons of one document are dealt to.
+SALTS = 32
+# 64-bit words of a set's parities, which bound what two sets can share.
+PARITIES = 8
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
@@ -204,132 +206,219 @@ def print_digits(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def long_votes(hashes: np.ndarray) -> np.ndarray:
-    """Four 64-bit words of majority bits, from 64-bit hashes."""
-    votes = np.zeros(64 * LONG_WORDS, np.int64)
-    for at in range(0, len(hashes), 16_384):
-        part = hashes[at:at + 16_384, None]
-        with np.errstate(over="ignore"):
-            part = (part ^ (part >> np.uint64(32))) * MIXERS
-            part ^= part >> np.uint64(29)
-        bits = np.unpackbits(np.ascontiguousarray(part).astype("<u8").view(np.uint8).reshape(len(part), -1), axis=1, bitorder="little")
-        votes += bits.sum(axis=0, dtype=np.int64)
-    return np.packbits(2 * votes > len(hashes), bitorder="little").view("<u8")
+def bits_apart(similarity: float) -> int:
+    """Bits of 256 within which fingerprints of shingle sets of this Jaccard similarity are expected, and the tolerance.
 
+    Only an estimate; :func:`similar_documents` compares the sets themselves.
+    """
+    return round(64 * LONG_WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + TOLERANCE
 
-def long_fingerprints(text: bytes, words: int) -> np.ndarray:
-    """Candidate and deciding fingerprint of one text, four words each; zeros for a text without words."""
+
+def shingle_set(text: bytes, words: int) -> np.ndarray:
+    """Hashes of the different shingles of one text, ascending; a text of fewer words is one shingle."""
     found = text.lower().split()
-    if not found:
-        return np.zeros(2 * LONG_WORDS, np.uint64)
+    n = min(words, len(found))
     joined = b" ".join(found)
+    if n < words or n == len(found):
+        return np.array([xxhash.xxh3_64_intdigest(joined)], np.uint64).view(np.int64)
     ends = np.cumsum(np.fromiter(map(len, found), np.int64, len(found)) + 1) - 1
     starts = np.concatenate(([0], ends[:-1] + 1))
     digest = xxhash.xxh3_64_intdigest
+    return np.unique(np.array([digest(joined[a:b]) for a, b in zip(starts[:len(found) - n + 1].tolist(), ends[n - 1:].tolist())], np.uint64).view(np.int64))
 
-    def grams(n: int) -> np.ndarray:
-        n = min(n, len(found))
-        return np.array([digest(joined[a:b]) for a, b in zip(starts[:len(found) - n + 1].tolist(), ends[n - 1:].tolist())], np.uint64)
 
-    return np.concatenate((long_votes(np.concatenate((grams(1), grams(2)))), long_votes(grams(words))))
+def set_number(hashes: np.ndarray) -> int:
+    """A number that equal sets of shingles have in common."""
+    return int(np.uint64(xxhash.xxh3_64_intdigest(hashes.astype("<i8").tobytes())).view(np.int64))
 
 
-def bits_apart(similarity: float) -> int:
-    """Bits of the deciding fingerprint within which shingle sets of this Jaccard similarity are expected, and the tolerance."""
-    return round(64 * LONG_WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + TOLERANCE
+def parities(hashes: np.ndarray) -> np.ndarray:
+    """Of every one of 64 x ``PARITIES`` cells of hashes, whether their number is odd.
+
+    Sets that differ in d shingles differ in at most d parities.
+    """
+    odd = np.bincount(hashes & (64 * PARITIES - 1), minlength=64 * PARITIES) & 1
+    return np.packbits(odd.astype(bool), bitorder="little").view("<i8")
+
+
+def prefix(hashes: np.ndarray, similarity: float, common: np.ndarray) -> np.ndarray:
+    """The first shingles of a set, in the order of all sets, of which two sets of this similarity share at least one.
+
+    They share at least ``similarity`` of the shingles of each, so the first one
+    that they share has as many behind it, less one. Those of ``common``
+    (ascending) come last.
+    """
+    share = int(np.ceil(similarity * len(hashes) - 1e-9))
+    last = common[np.minimum(np.searchsorted(common, hashes), len(common) - 1)] == hashes if len(common) else np.zeros(len(hashes), bool)
+    return np.concatenate((hashes[~last], hashes[last]))[:len(hashes) - share + 1]
 
 
 def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8) -> DataFrame:
     """``doc_id, component_id`` of every row of ``docs(doc_id, text)``: groups of texts alike in their shingles.
 
-    The share of differing bits of a SimHash estimates the angle between two
-    texts' shingles; pairs are linked whose estimate is at least ``similarity``
-    (Jaccard). Candidates meet at anchors as for :func:`near_duplicates`, by
-    eight 32-bit blocks of a fingerprint of words and word pairs: all pairs that
-    differ in at most one bit of one block do. Equal texts are always linked.
-    Rules for null ids and texts and for repeated rows are those of
+    Two texts are linked if the Jaccard similarity of their sets of shingles is
+    at least ``similarity``; every different shingle counts once. All such pairs
+    are found: they share one of the first shingles of both, in an order that
+    all texts have in common (prefix filtering), and every pair that does is
+    decided by the sets. Shingles are told apart by 64-bit hashes, and so are
+    sets. Rules for null ids and texts and for repeated rows are those of
     :func:`near_duplicates`.
     """
-    names = [f"w{i}" for i in range(2 * LONG_WORDS)]
+    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    common = _common_shingles(own, words)
+
+    marks = [f"m{i}" for i in range(PARITIES)]
 
     def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for rows in text_slices(batch, "text"):
-                found = np.array([long_fingerprints((t or "").encode(), words) for t in rows["text"].to_pylist()], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([rows["doc_id"], *(pa.array(np.ascontiguousarray(found[:, i])) for i in range(len(names)))], names=["doc_id", *names])
-
-    own = docs.select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
-    prints = materialize(own.mapInArrow(lean(made), "doc_id long, " + ", ".join(f"{n} long" for n in names)), "fingerprints")
-    distinct = prints.groupBy(*names).agg(F.min("doc_id").alias("first_id"))
-    nodes = materialize(distinct.withColumn("node", F.monotonically_increasing_id()), "nodes")
-    roots = materialize(components(_similar_links(nodes, bits_apart(similarity))), "roots")
-    members = materialize(nodes.join(roots, "node", "left").select(*names, "first_id", F.coalesce("root", "node").alias("root")), "members")
+                found = [shingle_set((t or "").encode(), words) for t in rows["text"].to_pylist()]
+                odd = np.array([parities(x) for x in found])
+                first = [prefix(x, similarity, common) for x in found]
+                yield pa.RecordBatch.from_arrays(
+                    [rows["doc_id"], pa.array([set_number(x) for x in found], pa.int64()), pa.array(list(map(len, found)), pa.int64()), _lists(first),
+                     *(pa.array(np.ascontiguousarray(odd[:, i])) for i in range(PARITIES))],
+                    names=["doc_id", "node", "size", "first", *marks])
+
+    def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for rows in text_slices(batch, "text"):
+                found = [shingle_set((t or "").encode(), words) for t in rows["text"].to_pylist()]
+                yield pa.RecordBatch.from_arrays([pa.array([set_number(x) for x in found], pa.int64()), _lists(found)], names=["node", "hashes"])
+
+    prints = materialize(own.mapInArrow(lean(made), "doc_id long, node long, size long, first array<long>, " + ", ".join(f"{m} long" for m in marks)), "fingerprints")
+    placed = materialize(_shared_shingles(prints), "shared")
+    marked = prints.select("node", "size", *marks).join(placed.select("node").distinct(), "node", "left_semi")
+    marked = materialize(marked.dropDuplicates(["node"]), "marks")
+
+    def alike(pairs: DataFrame) -> DataFrame:
+        may = _may_be_alike(pairs, marked, similarity)
+        needed = materialize(may.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
+        found = own.select("text").mapInArrow(lean(sets), "node long, hashes array<long>").join(
+            F.broadcast(needed) if fits(needed) else needed, "node", "left_semi").dropDuplicates(["node"])
+        return materialize(_alike(may, materialize(found, "sets"), similarity), "links")
+
+    roots = _similar_roots(placed, alike, similarity)
+    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    members = materialize(nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "members")
     least = materialize(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
-    of_print = materialize(lookup(members.drop("first_id"), least, ["root"]).drop("root"), "components")
-    return lookup(prints, of_print, names).select("doc_id", "component_id")
+    of_node = materialize(lookup(members.drop("first_id"), least, ["root"]).drop("root"), "components")
+    return lookup(prints.select("doc_id", "node"), of_node, ["node"]).select("doc_id", "component_id")
 
 
-def _similar_links(nodes: DataFrame, most: int) -> DataFrame:
-    """Links ``a, b`` between nodes that meet at an anchor and whose deciding fingerprints differ in at most ``most`` bits."""
-    candidate = [f"w{i}" for i in range(LONG_WORDS)]
-    deciding = [f"w{i}" for i in range(LONG_WORDS, 2 * LONG_WORDS)]
+def _lists(values: list[np.ndarray]) -> pa.Array:
+    offsets = np.concatenate(([0], np.cumsum([len(x) for x in values], dtype=np.int64))).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(values) if values else np.empty(0, np.int64)))
 
-    def homes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w, name in enumerate(candidate):
-                found = homes_and_guests(np.asarray(batch[name]))[0]
-                for half in (0, 1):
-                    yield pa.RecordBatch.from_arrays([pa.array(found[:, half] * 8 + 2 * w + half), batch["node"], batch[deciding[0]]], names=["anchor", "home", "look"])
 
-    def guests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _common_shingles(own: DataFrame, words: int) -> np.ndarray:
+    """Shingles of many documents, counted in a sample; they bear on the order of the shingles alone, not on what is found."""
+    part = max(1, own.count() // SAMPLE)
+
+    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for w, name in enumerate(candidate):
-                _, row, half, anchor = homes_and_guests(np.asarray(batch[name]))
-                row = pa.array(row)
-                yield pa.RecordBatch.from_arrays([pa.array(anchor * 8 + 2 * w + half), batch["node"].take(row), batch[deciding[0]].take(row)],
-                                                 names=["anchor", "guest", "guest_look"])
-
-    slim = nodes.select("node", *candidate, deciding[0])
-    home = materialize(slim.mapInArrow(lean(homes), "anchor long, home long, look long"), "homes")
-    guest = slim.mapInArrow(lean(guests), "anchor long, guest long, guest_look long")
-    counts = materialize(home.groupBy("anchor").agg(F.count(F.lit(1)).alias("homes"), F.min("home").alias("one")), "anchors")
-    # A guest that is alone at home at an anchor meets nobody there.
-    placed = materialize(guest.join(counts, "anchor").where("homes > 1 or one <> guest").drop("one"), "guests")
-    met = placed.groupBy("anchor").agg(F.count(F.lit(1)).alias("guests"), F.first("homes").alias("_homes"))
-    busy = materialize(met.where(F.col("guests") * F.col("_homes") > LONG_CROWDED).select("anchor", "guests"), "busy")
-    few = placed.join(busy, "anchor", "left_anti").join(home, "anchor").where(f"guest <> home and bit_count(guest_look ^ look) <= {FIRST_LOOK}")
-    pairs = materialize(few.select(F.greatest("guest", "home").alias("a"), F.least("guest", "home").alias("b")).distinct(), "pairs")
-    side = lambda key: nodes.select(F.col("node").alias(key), *(F.col(d).alias(f"{key}_{d}") for d in deciding))
-    apart = " + ".join(f"bit_count(a_{d} ^ b_{d})" for d in deciding)
-    near = pairs.join(side("a"), "a").join(side("b"), "b").where(f"{apart} <= {most}").select("a", "b")
-
-    at_crowd = placed.join(busy, "anchor")
-    tiles = materialize(at_crowd.select("anchor", "homes", "guests").distinct().select(
-        "anchor", F.ceil(F.col("homes") / TILE).alias("home_tiles"), F.ceil(F.col("guests") / TILE).alias("guest_tiles")), "tiles")
-    tile = lambda c, n: F.pmod(F.xxhash64(c), F.col(n))
-    zero = F.lit(0).cast("long")
-    h = home.join(tiles, "anchor").select("anchor", tile("home", "home_tiles").alias("ht"), F.explode(F.sequence(zero, F.col("guest_tiles") - 1)).alias("gt"),
-                                          F.col("home").alias("node"), F.lit(True).alias("at_home"))
-    g = at_crowd.select("anchor", "guest").join(tiles, "anchor").select(
-        "anchor", F.explode(F.sequence(zero, F.col("home_tiles") - 1)).alias("ht"), tile("guest", "guest_tiles").alias("gt"),
-        F.col("guest").alias("node"), F.lit(False).alias("at_home"))
-    crowd = h.unionByName(g).join(nodes.select("node", *deciding), "node")
-    crowded = crowd.groupBy("anchor", "ht", "gt").applyInPandas(lambda rows: _compare_long_tile(rows, deciding, most), "a long, b long")
-    return near.unionByName(crowded)
+            for rows in text_slices(batch, "text"):
+                found, times = np.unique(np.concatenate([shingle_set((t or "").encode(), words) for t in rows["text"].to_pylist()]), return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(found), pa.array(times.astype(np.int64))], names=["token", "times"])
+
+    sample = own.where(F.pmod(F.xxhash64("text"), F.lit(part)) == 0).select("text")
+    counts = sample.mapInArrow(lean(counted), "token long, times long").groupBy("token").agg(F.sum("times").alias("times"))
+    rows = counts.where(F.col("times") >= COMMON).orderBy(F.desc("times"), "token").limit(MOST_COMMON).select("token").collect()
+    return np.sort(np.array([r.token for r in rows], np.int64))
+
+
+def _shared_shingles(prints: DataFrame) -> DataFrame:
+    """``token, node, size, pos, rep, n``: of the first shingles those of several sets, with one of the sets and their number of rows."""
+    entries = prints.select("node", "size", F.posexplode("first").alias("pos", "token"))
+    counts = entries.groupBy("token").agg(F.count(F.lit(1)).alias("n"), F.min("node").alias("rep"), F.max("node").alias("_most"))
+    counts = materialize(counts.where("rep <> _most").drop("_most"), "tokens")
+    if fits(counts):
+        met = entries.join(F.broadcast(counts), "token")
+    else:
+        # At most HOT_SHARE tokens hold more than their share of the rows.
+        bound = counts.agg(F.sum("n")).first()[0] / HOT_SHARE
+        hot = counts.where(F.col("n") > bound)
+        met = entries.join(F.broadcast(hot), "token").unionByName(
+            entries.join(F.broadcast(hot.select("token")), "token", "left_anti").join(counts.where(F.col("n") <= bound), "token"))
+    return met.dropDuplicates(["token", "node"]).select("token", "node", "size", "pos", "rep", "n")
 
 
-def _compare_long_tile(rows: pd.DataFrame, deciding: list[str], most: int) -> pd.DataFrame:
-    """As :func:`_compare_tile`, for the deciding fingerprints."""
-    words = rows[deciding].to_numpy(np.int64).view(np.uint64)
-    node, at_home = rows["node"].to_numpy(), rows["at_home"].to_numpy()
-    home, guest = np.flatnonzero(at_home), np.flatnonzero(~at_home)
-    a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-    for at in range(0, len(home), 128):
-        mine = home[at:at + 128]
-        apart = sum(np.bitwise_count(words[mine, None, k] ^ words[None, guest, k]).astype(np.int16) for k in range(len(deciding)))
-        i, j = np.nonzero(apart <= most)
-        x, y = united(node[mine[i]], node[guest[j]])
-        a.append(x)
-        b.append(y)
-    x, y = united(np.concatenate(a), np.concatenate(b))
-    return pd.DataFrame({"a": x, "b": y})
+def _similar_roots(placed: DataFrame, alike: Callable[[DataFrame], DataFrame], similarity: float) -> DataFrame:
+    """``node, root`` of all sets that are linked to another.
+
+    The sets of a shingle are compared with one of them first, and where there
+    are very many with another one. Then all pairs are, but for those that are
+    connected by then, so large groups of copies take few comparisons.
+    """
+    links = alike(placed.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    roots = materialize(components(links), "roots")
+    open_lists = _unconnected(placed, roots)
+    if not open_lists.where(F.col("n") > LONG_CROWDED).isEmpty():
+        other = open_lists.where("node <> other and comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        links = links.unionByName(alike(other))
+        roots = materialize(components(links), "roots")
+        open_lists = _unconnected(placed, roots)
+    if open_lists.isEmpty():
+        return roots
+    links = links.unionByName(alike(_open_pairs(open_lists, similarity)))
+    return materialize(components(links), "roots")
+
+
+def _unconnected(placed: DataFrame, roots: DataFrame) -> DataFrame:
+    """The rows of the shingles whose sets are in several components, with component, largest set, its component, and number of sets."""
+    marked = lookup(placed.select("token", "node", "size", "pos"), roots, ["node"]).withColumn("comp", F.coalesce("root", "node")).drop("root")
+    marked = materialize(marked, "marked")
+    lists = marked.groupBy("token").agg(
+        F.count(F.lit(1)).alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.max("node").alias("other"))
+    lists = materialize(lists.where("_low <> _high").select("token", "n", "other"), "lists")
+    comps = roots.select(F.col("node").alias("other"), F.col("root").alias("other_comp"))
+    lists = materialize(lookup(lists, comps, ["other"]).withColumn("other_comp", F.coalesce("other_comp", "other")), "lists")
+    return materialize(lookup(marked, lists, ["token"]).where("n is not null"), "open")
+
+
+def _open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
+    """Pairs ``a, b`` of sets that share a shingle, aren't connected, and may be alike by their sizes and the places of the shingle.
+
+    Long lists are compared in tiles, so no task has all of one.
+    """
+    tiles = F.ceil(F.col("n") / TILE)
+    cut = rows.select("token", "node", "size", "pos", "comp", tiles.alias("_tiles")).withColumn("_own", F.pmod(F.xxhash64("node"), F.col("_tiles")))
+    every = F.explode(F.sequence(F.lit(0).cast("long"), F.col("_tiles") - 1))
+    x = cut.withColumn("_other", every).select(
+        "token", F.col("_own").alias("_x"), F.col("_other").alias("_y"), *(F.col(c).alias(f"a_{c}") for c in ("node", "size", "pos", "comp")))
+    y = cut.withColumn("_other", every).select(
+        "token", F.col("_other").alias("_x"), F.col("_own").alias("_y"), *(F.col(c).alias(f"b_{c}") for c in ("node", "size", "pos", "comp")))
+    most = F.least("a_pos", "b_pos") + 1 + F.least(F.col("a_size") - F.col("a_pos"), F.col("b_size") - F.col("b_pos")) - 1
+    both = F.col("a_size") + F.col("b_size")
+    # As many shingles as are shared at most are enough; the margin is for rounding.
+    may = (F.least("a_size", "b_size") + 1e-6 >= similarity * F.greatest("a_size", "b_size")) & (most + 1e-6 >= similarity / (1 + similarity) * both)
+    met = x.join(y, ["token", "_x", "_y"]).where("a_node < b_node and a_comp <> b_comp").where(may)
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+
+
+def _with(rows: DataFrame, pairs: DataFrame, found: DataFrame, end: str, other: str) -> DataFrame:
+    """``rows`` of ``pairs`` with the columns of ``found`` for the set at one end, named after it."""
+    # A set with very many comparisons is dealt to several tasks.
+    salt = F.pmod(F.xxhash64(other), F.lit(SALTS))
+    named = found.select(F.col("node").alias(end), *(F.col(c).alias(f"{end}_{c}") for c in found.columns if c != "node"))
+    keyed = pairs.select(end, salt.alias("_salt")).distinct().join(named, end)
+    return rows.withColumn("_salt", salt).join(keyed, [end, "_salt"]).drop("_salt")
+
+
+def _may_be_alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
+    """The different pairs ``a, b``, without those that by their sizes and parities can't have the similarity."""
+    one = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    both = _with(_with(one, one, marked, "a", "b"), one, marked, "b", "a")
+    apart = F.expr(" + ".join(f"bit_count(a_m{i} ^ b_m{i})" for i in range(PARITIES)))
+    total = F.col("a_size") + F.col("b_size")
+    # Sets that share s of their n shingles together differ in n - 2s. The margin is for rounding.
+    may = (F.least("a_size", "b_size") + 1e-6 >= similarity * F.greatest("a_size", "b_size")) & (
+        (total - apart) / 2 + 1e-6 >= similarity / (1 + similarity) * total)
+    return materialize(both.where(may).select("a", "b"), "pairs")
+
+
+def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+    """The different pairs ``a, b`` whose sets have at least this Jaccard similarity."""
+    both = _with(_with(pairs, pairs, sets, "a", "b"), pairs, sets, "b", "a")
+    total, shared = F.size("a_hashes") + F.size("b_hashes"), F.size(F.array_intersect("a_hashes", "b_hashes"))
+    return both.select("a", "b", total.alias("total"), shared.alias("shared")).where(F.col("shared") / (F.col("total") - F.col("shared")) >= similarity).select("a", "b")
