@@ -193,3 +193,25 @@ def test_repeated_line_links_nothing(spark):
         texts.append(" ".join(own[:100] + line * times + own[100:]))
     assert max(jaccard(a, b) for i, a in enumerate(texts) for b in texts[:i]) < 0.1
     assert groups_of(spark, texts) == {i: i for i in range(len(texts))}
+
+
+def test_links_end_at_the_similarity(spark):
+    """Pairs of 0.8 and more are linked and others aren't, also right at the bound."""
+    import random
+
+    draw = random.Random(8)
+    texts = []
+    for n in (60, 100, 300):
+        for k in range(40):
+            base = words_of(draw, n)
+            copy = list(base)
+            # Replaced at the end: every word takes one shingle of n - 4 from both sides.
+            gone = max(1, round((n - 4) * (0.06 + 0.004 * k)))
+            copy[n - gone:] = words_of(draw, gone)
+            texts += [" ".join(base), " ".join(copy)]
+    same = words_of(draw, 4 + 90)
+    texts += [" ".join(same), " ".join(same[:84] + words_of(draw, 10)), " ".join(words_of(draw, 10) + same[10:])]
+    assert jaccard(texts[-1], texts[-3]) == jaccard(texts[-2], texts[-3]) == 0.8
+    near = [jaccard(texts[i], texts[i + 1]) for i in range(0, len(texts) - 3, 2)]
+    assert sum(0.8 <= s < 0.84 for s in near) >= 10 and sum(0.7 < s < 0.8 for s in near) >= 20
+    assert groups_of(spark, texts) == plain_groups(texts)
