@@ -215,3 +215,28 @@ def test_links_end_at_the_similarity(spark):
     near = [jaccard(texts[i], texts[i + 1]) for i in range(0, len(texts) - 3, 2)]
     assert sum(0.8 <= s < 0.84 for s in near) >= 10 and sum(0.7 < s < 0.8 for s in near) >= 20
     assert groups_of(spark, texts) == plain_groups(texts)
+
+
+@pytest.mark.parametrize("kind", ["appended", "deleted", "scattered"])
+def test_every_kind_of_edit_is_found(spark, kind):
+    """No pair of at least 0.8 is missed, whatever the edit and the length."""
+    import random
+
+    draw = random.Random(kind)
+    texts = []
+    for n in (40, 100, 300):
+        for k in range(40):
+            base = words_of(draw, n)
+            if kind == "appended":
+                copy = base + words_of(draw, round((n - 4) * 0.006 * (k + 1)))
+            elif kind == "deleted":
+                at, gone = draw.randrange(n // 2), round((n - 4) * 0.006 * (k + 1))
+                copy = base[:at] + base[at + gone:]
+            else:
+                copy = list(base)
+                for _ in range(max(1, round(n * 0.001 * (k + 1)))):
+                    copy[draw.randrange(n)] = words_of(draw, 1)[0]
+            texts += [" ".join(base), " ".join(copy)]
+    near = [jaccard(texts[i], texts[i + 1]) for i in range(0, len(texts), 2)]
+    assert sum(0.8 <= s < 1 for s in near) >= 40
+    assert groups_of(spark, texts) == plain_groups(texts)
