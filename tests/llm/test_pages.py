@@ -114,3 +114,16 @@ def test_quality_hard_rows(spark):
         assert len(got) == len(rows) and all(0 <= r.score <= 1 for r in got)
         assert want is None or all(r.score == want for r in got)
     assert quality.score(df.limit(0), quality.fit(df.limit(0), labels([]))).collect() == []
+
+
+def test_nothing_hidden_shows_below_deep_nesting():
+    inner = "<script>no()</script><style>.no{}</style><div hidden>no<p>no</div><dialog>no</dialog><p>one<p>two<ul><li>a<li>b</ul><pre>x\n y</pre>"
+    for opening in ("<div>", "<b>", "<div><span>"):
+        for levels in (1, 119, 500, 5000):
+            assert render(opening * levels + inner) == "one\n\ntwo\n\n- a\n- b\n\nx\n y"
+    deep = render("<blockquote>" * 500 + "<ul><li>a<script>no()</script><li>b</ul>end")
+    assert [x.strip() for x in deep.split("\n") if x] == ["- a", "- b", "end"]
+    began = time.time()
+    assert render("<blockquote>x" * 20_000).count("x") == 20_000
+    assert render("<div>" + "<b>" * 100_000 + "x" + "</i>" * 100_000 + "</b>" * 100_000 + "y") == "xy"
+    assert time.time() - began < 20

@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+import sys
 import unicodedata
 from collections.abc import Iterator
 
@@ -47,8 +48,8 @@ IMPLIED = {
     "th": (frozenset(["td", "th", "caption", "colgroup"]), frozenset(["table", "tr"])),
     **{s: (SECTIONS | {"tr", "caption", "colgroup"}, frozenset(["table"])) for s in ("tbody", "thead", "tfoot")},
 }
-# Deeper tags become siblings, as in browsers; no text is lost by it.
-DEPTH = 120
+# Lists and quotes inside so many others are laid out alike, but not indented further.
+INDENTS = 120
 TABLE_DEPTH = 12
 
 NAME = re.compile(r"[^\s/>]+")
@@ -140,20 +141,34 @@ def attributes(text: str) -> dict[str, str]:
 
 
 def tree(page: str) -> Node:
-    """The page's tree, with implied tags."""
+    """The page's tree, with implied tags, of any depth."""
     root = Node("html")
     stack = [root]
+    places: dict[str, list[int]] = {}  # of every tag where it is open, so that no search walks a deep stack
+    blocks: list[int] = []
     body_seen = False
 
+    def opened(node: Node) -> None:
+        places.setdefault(node.tag, []).append(len(stack))
+        if node.tag in BLOCKS:
+            blocks.append(len(stack))
+        stack.append(node)
+
+    def cut(at: int) -> None:
+        while len(stack) > at:
+            tag = stack.pop().tag
+            places[tag].pop()
+            if tag in BLOCKS:
+                blocks.pop()
+
+    def nearest(names: frozenset) -> int:
+        """The innermost open tag of these names; 0 if there is none."""
+        return max((places[n][-1] for n in names if places.get(n)), default=0)
+
     def close(names: frozenset, scope: frozenset) -> None:
-        for i in range(len(stack) - 1, 0, -1):
-            if stack[i].tag in names:
-                del stack[i:]
-                # Further names directly above are closed as well.
-                close(names, scope)
-                return
-            if stack[i].tag in scope:
-                return
+        # Further names directly above are closed as well.
+        while (at := nearest(names)) and at >= nearest(scope):
+            cut(at)
 
     for kind, value, more in tokens(page):
         if kind == "text":
@@ -163,36 +178,34 @@ def tree(page: str) -> Node:
                 continue
             if value == "body":
                 body_seen = True
-                del stack[1:]
+                cut(1)
             elif stack[-1].tag == "head" and value not in UNSHOWN:
-                stack.pop()
+                cut(len(stack) - 1)
             if value in IMPLIED:
                 close(*IMPLIED[value])
             if value in CLOSES_P:
                 close(frozenset(["p"]), SCOPE)
             if value in HEADINGS and stack[-1].tag in HEADINGS:
-                stack.pop()
+                cut(len(stack) - 1)
             if value in CELLS and stack[-1].tag in SECTIONS | {"table"}:
                 stack[-1].children.append(row := Node("tr"))
-                stack.append(row)
+                opened(row)
             node = Node(value, attributes(more))
             stack[-1].children.append(node)
-            if value not in VOID and len(stack) < DEPTH:
-                stack.append(node)
+            if value not in VOID:
+                opened(node)
         else:
             if value == "br":
                 stack[-1].children.append(Node("br"))
                 continue
-            block = value in BLOCKS
-            for i in range(len(stack) - 1, 0, -1):
-                tag = stack[i].tag
-                if tag == value or value in HEADINGS and tag in HEADINGS:
-                    del stack[i:]
-                    break
-                if tag in ("td", "th", "caption") and value not in SECTIONS | CELLS | {"table", "tr"} or tag == "table":
-                    break
-                if not block and tag in BLOCKS:
-                    break
+            at = nearest(HEADINGS if value in HEADINGS else frozenset([value]))
+            bounds = nearest(frozenset(["table"]))
+            if value not in SECTIONS | CELLS | {"table", "tr"}:
+                bounds = max(bounds, nearest(frozenset(["td", "th", "caption"])))
+            if value not in BLOCKS and blocks:
+                bounds = max(bounds, blocks[-1])
+            if at and at >= bounds:
+                cut(at)
     return root
 
 
@@ -260,6 +273,7 @@ class Flow:
         self.lines: list[str] = []
         self.line = ""
         self.gap = 0
+        self.held = ""  # markers that stand before the next line that isn't empty
 
     def text(self, value: str, keep_space: bool) -> None:
         if keep_space:
@@ -284,6 +298,9 @@ class Flow:
         if self.gap and self.lines:
             self.lines += [""] * self.gap
         self.gap = 0
+        if self.held and (at := next((i for i, x in enumerate(lines) if x), -1)) >= 0:
+            lines = [*lines[:at], self.held + lines[at], *lines[at + 1:]]
+            self.held = ""
         self.lines += lines
 
     def block(self, gap: int) -> None:
@@ -326,6 +343,7 @@ class Layout:
 
     def __init__(self, root: Node):
         self.style = Style(root)
+        self.indents = 0
 
     def fill(self, node: Node, flow: Flow, shown: bool, keep_space: bool, tables: int) -> None:
         for child in node.children:
@@ -388,8 +406,15 @@ class Layout:
             self.fill(node, flow, shown, keep_space, tables)
 
     def indented(self, node: Node, flow: Flow, shown: bool, keep_space: bool, tables: int, first: str, others: str, gap: int) -> None:
+        if self.indents >= INDENTS:
+            flow.block(gap)
+            self.fill(node, flow, shown, keep_space, tables)
+            flow.block(gap)
+            return
         inner = Flow()
+        self.indents += 1
         self.fill(node, inner, shown, keep_space, tables)
+        self.indents -= 1
         flow.block(gap)
         if lines := inner.done():
             flow.add([(first if i == 0 else others) + x if x else "" for i, x in enumerate(lines)])
@@ -412,9 +437,20 @@ class Layout:
                     sign = "- "
                 takes_part, visibility = self.visible(child)
                 if takes_part:
-                    inner = ItemFlow()
-                    self.fill(child, inner, shown if visibility is None else visibility not in ("hidden", "collapse"), keep_space, tables)
+                    item_shown = shown if visibility is None else visibility not in ("hidden", "collapse")
                     flow.block(0)
+                    if self.indents >= INDENTS:
+                        held = len(flow.held)
+                        flow.held += sign
+                        self.fill(child, flow, item_shown, keep_space, tables)
+                        flow.block(0)
+                        # An item without lines has no marker.
+                        flow.held = flow.held[:held]
+                        continue
+                    inner = ItemFlow()
+                    self.indents += 1
+                    self.fill(child, inner, item_shown, keep_space, tables)
+                    self.indents -= 1
                     if lines := inner.done():
                         flow.add([(sign if i == 0 else " " * len(sign)) + x if x else "" for i, x in enumerate(lines)])
             elif isinstance(child, Node):
@@ -512,10 +548,25 @@ def render(page: str | None) -> str:
         return ""
     root = tree(page)
     flow = Flow()
-    Layout(root).fill(root, flow, True, False, 0)
+    most = sys.getrecursionlimit()
+    # At most four calls for each level of the tree, and none of them by way of C, so only this limit bounds the depth.
+    sys.setrecursionlimit(max(most, 1000 + 4 * depth(root)))
+    try:
+        Layout(root).fill(root, flow, True, False, 0)
+    finally:
+        sys.setrecursionlimit(most)
     return "\n".join(flow.done())
 
 
+def depth(root: Node) -> int:
+    """Levels of a tree."""
+    level, levels = [root], 0
+    while level:
+        levels += 1
+        level = [c for node in level for c in node.children if isinstance(c, Node)]
+    return levels
+
+
 def extract(pages: DataFrame, column: str = "html", into: str = "text") -> DataFrame:
     """Add the rendered text ``into`` to every row of ``pages``, in place of ``column``.
 
