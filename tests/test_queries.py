@@ -34,3 +34,10 @@ def test_entry(spark):
     spec.loader.exec_module(module)
     assert set(module.oracle_sql()) <= set(module.queries())
     assert module.entry(spark).count() == 200
+
+
+def test_oracles_are_sql():
+    spec = importlib.util.spec_from_file_location("entry", Path(__file__).resolve().parents[1] / "__spark_entry__.py")
+    module = importlib.util.module_from_spec(spec)
+    spec.loader.exec_module(module)
+    assert all(isinstance(sql, str) for sql in module.oracle_sql().values())

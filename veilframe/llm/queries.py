@@ -24,7 +24,5 @@ QUERIES = {
 }
 ORACLES: dict[str, str] = {
     "op4_pca_near_vectors": OP4_SQL,
-    "op5_layout_text": op5_layout_text,
-    "op6_phrase_repeats": op6_phrase_repeats,
     "op7_histogram_top_k": OP7_SQL,
 }
