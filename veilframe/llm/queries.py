@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import corpus_pipeline
+from veilframe.llm.queries_alignment import op13_aligned_tokens
 from veilframe.llm.queries_duplicates import op6_phrase_repeats, op10_anchor_simhash
 from veilframe.llm.queries_lines import OP12_SQL, op12_line_bitmaps
 from veilframe.llm.queries_pages import op5_layout_text, op8_co_trained_quality
@@ -22,6 +23,7 @@ QUERIES = {
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_anchor_simhash": op10_anchor_simhash,
     "op12_line_bitmaps": op12_line_bitmaps,
+    "op13_aligned_tokens": op13_aligned_tokens,
     "pipeline": corpus_pipeline.run,
 }
 ORACLES: dict[str, str] = {
