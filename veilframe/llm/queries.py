@@ -9,7 +9,7 @@ from veilframe.llm.queries_lines import OP12_SQL, op12_line_bitmaps
 from veilframe.llm.queries_pages import op5_layout_text, op8_co_trained_quality
 from veilframe.llm.queries_planning import op2_table_sharding, op3_low_discrepancy_mix
 from veilframe.llm.queries_tokens import op1_token_files, op9_best_fit_packing
-from veilframe.llm.queries_vectors import OP4_SQL, OP7_SQL, op4_pca_near_vectors, op7_histogram_top_k
+from veilframe.llm.queries_vectors import OP4_SQL, OP7_SQL, op4_pca_near_vectors, op7_histogram_top_k, op11_qd_whitening
 
 QUERIES = {
     "op1_token_files": op1_token_files,
@@ -22,6 +22,7 @@ QUERIES = {
     "op8_co_trained_quality": op8_co_trained_quality,
     "op9_best_fit_packing": op9_best_fit_packing,
     "op10_anchor_simhash": op10_anchor_simhash,
+    "op11_qd_whitening": op11_qd_whitening,
     "op12_line_bitmaps": op12_line_bitmaps,
     "op13_aligned_tokens": op13_aligned_tokens,
     "pipeline": corpus_pipeline.run,

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from veilframe.llm import cosine, topk
+from veilframe.llm import cosine, topk, whitening
 
 
 def op4_pca_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -16,6 +16,10 @@ def op7_histogram_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
     return topk.top_k(vectors, vectors.where("vec_id % 50 = 0"), k=5, scale=256)
 
 
+def op11_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return whitening.whiten(spark.read.parquet(f"{sf_dir}/embeddings.parquet"), most=16)
+
+
 # The scores are whole numbers, so SQL finds the same rows; one row of the cross product for each score.
 OP7_SQL = """
 with v as (
