@@ -210,7 +210,20 @@ def resolve_overlaps(spans: Column, element_type: str) -> Column:
         ranked = F.array_sort(F.transform(island, rank))
         chosen = F.aggregate(ranked, empty(element_type), lambda acc, r: F.when(
             clear(acc, r["span"]), F.array_append(acc, r["span"])).otherwise(acc))
-        return F.when(F.size(island) == 1, island).otherwise(F.array_sort(chosen))
+        return F.when(F.size(island) == 1, island).when(falling(island), in_order(island)).otherwise(F.array_sort(chosen))
+
+    def size_of(span: Column) -> Column:
+        return span["end"] - span["start"]
+
+    def falling(island: Column) -> Column:
+        """Whether no span beats one in front of it, as in a chain of matches of one length."""
+        pairs = F.zip_with(F.slice(island, F.lit(1), F.size(island) - 1), F.slice(island, F.lit(2), F.size(island)), lambda a, b: (
+            size_of(a) > size_of(b)) | ((size_of(a) == size_of(b)) & ((a["start"] < b["start"]) | (a["rule_ord"] <= b["rule_ord"]))))
+        return F.forall(pairs, lambda x: x)
+
+    def in_order(island: Column) -> Column:
+        return scan(island, F.lit(0), lambda reach, s: state(
+            F.when(s["start"] >= reach, s["end"]).otherwise(reach), s["start"] >= reach, s), element_type)
 
     def step(carry: Column, s: Column) -> Column:
         apart = s["start"] >= carry["reach"]

@@ -13,6 +13,9 @@ from veilframe.functions.text import each, fenced, find_everywhere
 from veilframe.operators.detect import (
     candidates, detect, find, has_markers, item_table,
 )
+from veilframe.operators.lookup import lookup
+from veilframe.operators.overlaps import select_spans
+from veilframe.operators.ranking import running_sum
 from veilframe.operators.rules import builtin_rules, custom_rule
 from veilframe.plans import oracle as o
 from veilframe.plans.derived import derived, derived_sql, table
@@ -174,7 +177,7 @@ def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
                                    F.sum(F.col("c")["end"] - F.col("c")["start"]).alias("characters"))
 
 
-@query("resolve_overlaps", f"""
+_resolved = f"""
     with recursive cand as (
         select *, row_number() over (partition by id order by start_pos - end_pos, start_pos, rule_ord) as r from ({_cands}) as c),
     spans as (select id, list(struct_pack(s := start_pos, e := end_pos, c := category, v := value) order by r) as xs from cand group by id),
@@ -184,13 +187,44 @@ def overlap_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
         select id, xs, n + 1, case when len(list_filter(kept, lambda k: k.s < xs[n + 1].e and k.e > xs[n + 1].s)) = 0
                                    then list_append(kept, xs[n + 1]) else kept end
         from walk where n < len(xs)),
-    done as (select id, unnest(kept) as k from walk where n = len(xs))
-    select id, k.s as start_pos, k.e as end_pos, k.c as category, k.v as value from done""")
+    done as (select id, unnest(kept) as k from walk where n = len(xs))"""
+
+
+@query("resolve_overlaps", f"{_resolved} select id, k.s as start_pos, k.e as end_pos, k.c as category, k.v as value from done")
 def resolve_overlaps_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Two overlapping custom rules: longest match first, then the earliest, then rule order."""
     return as_items(item_table(detect(messages(spark, sf_dir), WORD_RULES), "id"), "id")
 
 
+def _candidate_table(df: DataFrame) -> DataFrame:
+    """Matches of the word rules as a table of spans, before overlaps are resolved."""
+    found = df.withColumn("_found", candidates(F.coalesce("text", F.lit("")), WORD_RULES))
+    return each(found, "_found", "id", name="c").select("id", "c.*")
+
+
+@query("resolve_overlaps_table", f"{_resolved} select id, k.s as start_pos, k.e as end_pos, k.c as category, k.v as value from done")
+def resolve_overlaps_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The same resolution on a table of spans instead of arrays in rows."""
+    return as_items(select_spans(_candidate_table(messages(spark, sf_dir)), "id"), "id")
+
+
+@query("resolve_overlaps_joined", f"""{_resolved},
+    sizes as (select doc_id, lang, sum(length(coalesce(text, '')) + 1) over (
+        partition by lang order by doc_id rows between unbounded preceding and 1 preceding) as ahead from documents)
+    select lang, k.s + coalesce(ahead, 0)::bigint as start_pos, k.e + coalesce(ahead, 0)::bigint as end_pos, k.c as category, k.v as value
+    from done join sizes on done.id = 'd' || sizes.doc_id""")
+def resolve_overlaps_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of a language as one text each: its spans are spread over tasks."""
+    docs = table(spark, sf_dir, "documents")
+    sized = docs.select("lang", "doc_id", F.length(F.coalesce("text", F.lit(""))).alias("size"))
+    ahead = running_sum(sized, ["lang"], ["doc_id"], F.col("size") + 1, "behind").select(
+        "lang", "doc_id", (F.col("behind") - F.col("size") - 1).alias("ahead"))
+    found = _candidate_table(docs.select(F.col("doc_id").alias("id"), "text"))
+    placed = lookup(found, ahead.select(F.col("doc_id").alias("id"), "lang", "ahead"), ["id"])
+    moved = placed.select("lang", *((F.col(c) + F.col("ahead")).cast("int").alias(c) for c in ("start", "end")), "rule_ord", "rule_id", "category", "value")
+    return as_items(select_spans(moved, "lang"), "lang")
+
+
 @query("match_everywhere", f"""
     select id, i - 1 as start_pos, substr(text, i, 5) as value,
            case when i <= 3 then substr(text, 1, i - 1) else substr(text, i - 3, 3) end as before
