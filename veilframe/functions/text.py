@@ -95,7 +95,7 @@ def each(df: DataFrame, array: Column | str, *keys: str, name: str = "one", posi
     return rows.where(F.col(name).isNotNull())
 
 
-def pieces(text: Column, regex: str) -> Column:
+def pieces(text: Column, regex: Column | str) -> Column:
     """The text cut in front of every non-overlapping match; input of :func:`matches_in`."""
     marked = F.regexp_replace(text, F.lit(regex), F.lit(f"{OPEN}$0{SHUT}"))
     return F.split(marked, OPEN, -1)

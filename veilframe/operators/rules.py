@@ -127,12 +127,12 @@ def rules_table(spark: SparkSession, rules: Iterable[Rule] | None = None) -> Dat
 def rules_from_table(table: DataFrame) -> list[Rule]:
     """Rule rows back as rules, in order; built-in ids get their checks back.
 
-    A rule set is configuration, not data: it has to fit into one projection, so
-    more than ``MAX_RULES`` rows are refused instead of collected.
+    These rules have to fit into one projection, so more than ``MAX_RULES`` rows
+    are refused instead of collected; ``many_rules`` takes larger tables.
     """
     rows = table.orderBy("rule_ord").limit(MAX_RULES + 1).collect()
     if len(rows) > MAX_RULES:
-        raise ValueError(f"more than {MAX_RULES} rules")
+        raise ValueError(f"more than {MAX_RULES} rules for one projection; detect_many takes tables of any size")
     known = {r.id: r for r in BUILTIN_RULES}
     out = []
     for row in rows:

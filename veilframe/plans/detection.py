@@ -9,13 +9,15 @@ from veilframe.functions import checks
 from veilframe.functions import fixed_values as fv
 from veilframe.functions.confusables import fix_lookalikes
 from veilframe.functions.numbering_plan import NANP_AREA
+from veilframe.functions.retention import RETENTION
 from veilframe.functions.text import each, fenced, find_everywhere
 from veilframe.operators.detect import (
     candidates, detect, find, has_markers, item_table,
 )
 from veilframe.operators.lookup import lookup
+from veilframe.operators.many_rules import match_many
 from veilframe.operators.overlaps import select_spans
-from veilframe.operators.ranking import running_sum
+from veilframe.operators.ranking import numbered_rows, running_sum
 from veilframe.operators.rules import builtin_rules, custom_rule
 from veilframe.plans import oracle as o
 from veilframe.plans.derived import derived, derived_sql, table
@@ -225,6 +227,35 @@ def resolve_overlaps_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_items(select_spans(moved, "lang"), "lang")
 
 
+# Pairs of neighbouring long words, each pair a rule of its own: thousands of rules.
+_pairs = """
+    with lines as (select doc_id, unnest(string_split_regex(coalesce(text, ''), '[\\t\\n\\f\\r\\x0b]')) as line from documents),
+    words as (select doc_id, string_split(line, ' ') as w from lines),
+    pairs as (select doc_id, unnest(list_zip(w[:-2], w[2:])) as z from words),
+    long_pairs as (select doc_id, z[1] || ' ' || z[2] as pair from pairs where z[1] <> z[2]
+        and regexp_full_match(z[1], '[a-z]{7,}') and regexp_full_match(z[2], '[a-z]{7,}'))"""
+
+
+def pair_rules(docs: DataFrame) -> DataFrame:
+    """A rule for every pair of long words that stand beside each other in a line."""
+    words = docs.select(F.explode(F.split(F.coalesce("text", F.lit("")), "[\\t\\n\\f\\r\\x0B]")).alias("line")).select(F.split("line", " ").alias("w"))
+    pairs = words.where(F.size("w") > 1).select(F.explode(F.arrays_zip(F.expr("slice(w, 1, size(w) - 1)").alias("a"), F.expr("slice(w, 2, size(w) - 1)").alias("b"))).alias("z")).select("z.a", "z.b")
+    chosen = pairs.where(F.col("a").rlike("^[a-z]{7,}$") & F.col("b").rlike("^[a-z]{7,}$") & (F.col("a") != F.col("b"))).distinct()
+    name = F.concat_ws(" ", "a", "b")
+    return numbered_rows(chosen.withColumn("_all", F.lit(0)), ["_all"], ["a", "b"], "n").select(
+        F.col("n").cast("int").alias("rule_ord"), name.alias("id"), name.alias("name"), F.lit("word pair").alias("category"), F.lit("custom").alias("source"),
+        F.concat(F.lit(r"(?<!\S)"), "a", F.lit(" "), "b", F.lit(r"(?!\S)")).alias("regex"), F.lit("").alias("example"), F.lit(True).alias("enabled"),
+        F.lit(None).cast(RETENTION).alias("retention"))
+
+
+@query("many_rules", f"{_pairs} select pair as rule_id, count(*) as matches, count(distinct doc_id) as documents from long_pairs group by pair")
+def many_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Thousands of rules in one call: texts meet only the rules of the grams that they hold."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    found = match_many(spread(docs), pair_rules(docs), "doc_id")
+    return found.groupBy("rule_id").agg(F.count(F.lit(1)).alias("matches"), F.countDistinct("doc_id").alias("documents"))
+
+
 @query("match_everywhere", f"""
     select id, i - 1 as start_pos, substr(text, i, 5) as value,
            case when i <= 3 then substr(text, 1, i - 1) else substr(text, i - 3, 3) end as before
