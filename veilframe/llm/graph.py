@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from veilframe.llm.memory import lean
-from veilframe.session import materialize
+from veilframe.session import discard, materialize
 
 # Links that one task unites at a time.
 BATCH = 500_000
@@ -71,7 +71,7 @@ def components(links: DataFrame) -> DataFrame:
     united_links = links.where("a <> b").mapInArrow(lean(_unite_batches), "a long, b long")
     state = materialize(_oriented(united_links), "links")
     while True:
-        before = state.agg(F.count(F.lit(1)), F.sum(F.hash("big", "small").cast("long"))).first()
+        before = state
         both = state.select(F.col("big").alias("u"), F.col("small").alias("v")).unionAll(
             state.select(F.col("small").alias("u"), F.col("big").alias("v")))
         low = materialize(both.groupBy("u").agg(F.min("v").alias("low")).where("low < u"), "lowest")
@@ -82,8 +82,10 @@ def components(links: DataFrame) -> DataFrame:
         lowest = materialize(large.groupBy("big").agg(F.min("small").alias("low")), "lowest")
         handed = large.join(lowest, "big").where("small <> low").select(F.col("small").alias("a"), F.col("low").alias("b"))
         state = materialize(_oriented(handed.unionAll(lowest.select(F.col("big").alias("a"), F.col("low").alias("b")))), "links")
-        after = state.agg(F.count(F.lit(1)), F.sum(F.hash("big", "small").cast("long"))).first()
-        if before == after:
+        # A round that leaves every link as it was is the last.
+        same = state.count() == before.count() and before.join(state, ["big", "small"], "left_anti").isEmpty()
+        discard(before, low, large, lowest)
+        if same:
             break
     roots = state.select(F.col("small").alias("node"), F.col("small").alias("root")).distinct()
     return state.select(F.col("big").alias("node"), F.col("small").alias("root")).unionAll(roots)

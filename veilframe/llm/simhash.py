@@ -26,7 +26,7 @@ from veilframe.llm.graph import components, united
 from veilframe.llm.memory import lean
 from veilframe.llm.tokens import text_slices
 from veilframe.operators.lookup import HOT_SHARE, lookup
-from veilframe.session import fits, materialize
+from veilframe.session import discard, fits, materialize
 
 BITS = 2
 RADIUS = 1
@@ -34,9 +34,6 @@ SEED = 42
 # Homes of an anchor, from which it is compared in tiles, and fingerprints of a tile.
 CROWDED = 256
 TILE = 2048
-# 256 bits in which the distance of fingerprints of the given similarity is expected, and what is allowed beyond it.
-LONG_WORDS = 4
-TOLERANCE = 4
 # Documents with one shingle, from which they are compared with single documents before they are with each other.
 LONG_CROWDED = 512
 # Documents in which common shingles are counted, how many of them make a shingle common, and the most that are named.
@@ -45,6 +42,8 @@ COMMON = 4
 MOST_COMMON = 50_000
 # Shares that the comparisons of one document are dealt to.
 SALTS = 32
+# Hashes of the sets that one task decides together.
+GROUP_HASHES = 4_000_000
 # 64-bit words of a set's parities, which bound what two sets can share.
 PARITIES = 8
 
@@ -206,14 +205,6 @@ def print_digits(fp: str) -> Column:
     return F.lower(F.lpad(F.hex(F.col(fp)), 16, "0"))
 
 
-def bits_apart(similarity: float) -> int:
-    """Bits of 256 within which fingerprints of shingle sets of this Jaccard similarity are expected, and the tolerance.
-
-    Only an estimate; :func:`similar_documents` compares the sets themselves.
-    """
-    return round(64 * LONG_WORDS * float(np.arccos(2 * similarity / (1 + similarity)) / np.pi)) + TOLERANCE
-
-
 def shingle_set(text: bytes, words: int) -> np.ndarray:
     """Hashes of the different shingles of one text, ascending; a text of fewer words is one shingle."""
     found = text.lower().split()
@@ -296,13 +287,18 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
         needed = materialize(may.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
         found = own.select("text").mapInArrow(lean(sets), "node long, hashes array<long>").join(
             F.broadcast(needed) if fits(needed) else needed, "node", "left_semi").dropDuplicates(["node"])
-        return materialize(_alike(may, materialize(found, "sets"), similarity), "links")
+        held = materialize(found, "sets")
+        links = materialize(_alike(may, held, similarity), "links")
+        discard(held, needed, may)
+        return links
 
     roots = _similar_roots(placed, alike, similarity)
+    discard(placed, marked)
     nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     members = materialize(nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "members")
     least = materialize(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     of_node = materialize(lookup(members.drop("first_id"), least, ["root"]).drop("root"), "components")
+    discard(roots, members, least)
     return lookup(prints.select("doc_id", "node"), of_node, ["node"]).select("doc_id", "component_id")
 
 
@@ -350,17 +346,18 @@ def _similar_roots(placed: DataFrame, alike: Callable[[DataFrame], DataFrame], s
     are very many with another one. Then all pairs are, but for those that are
     connected by then, so large groups of copies take few comparisons.
     """
-    links = alike(placed.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b")))
+    links = alike(placed.where("node <> rep").select(F.col("node").alias("a"), F.col("rep").alias("b"), "token"))
     roots = materialize(components(links), "roots")
     open_lists = _unconnected(placed, roots)
     if not open_lists.where(F.col("n") > LONG_CROWDED).isEmpty():
-        other = open_lists.where("node <> other and comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"))
+        other = open_lists.where("node <> other and comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"), "token")
         links = links.unionByName(alike(other))
         roots = materialize(components(links), "roots")
         open_lists = _unconnected(placed, roots)
     if open_lists.isEmpty():
         return roots
     links = links.unionByName(alike(_open_pairs(open_lists, similarity)))
+    discard(open_lists)
     return materialize(components(links), "roots")
 
 
@@ -393,7 +390,7 @@ def _open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
     # As many shingles as are shared at most are enough; the margin is for rounding.
     may = (F.least("a_size", "b_size") + 1e-6 >= similarity * F.greatest("a_size", "b_size")) & (most + 1e-6 >= similarity / (1 + similarity) * both)
     met = x.join(y, ["token", "_x", "_y"]).where("a_node < b_node and a_comp <> b_comp").where(may)
-    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"))
+    return met.select(F.col("a_node").alias("a"), F.col("b_node").alias("b"), "token")
 
 
 def _with(rows: DataFrame, pairs: DataFrame, found: DataFrame, end: str, other: str) -> DataFrame:
@@ -406,19 +403,46 @@ def _with(rows: DataFrame, pairs: DataFrame, found: DataFrame, end: str, other:
 
 
 def _may_be_alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> DataFrame:
-    """The different pairs ``a, b``, without those that by their sizes and parities can't have the similarity."""
-    one = materialize(pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "pairs")
+    """The different pairs ``a, b`` with their sizes, without those that by sizes and parities can't have the similarity.
+
+    ``token`` is one of the shingles that brought a pair together; pairs are decided where their shingle is.
+    """
+    one = pairs.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"), "token").groupBy("a", "b").agg(F.min("token").alias("token"))
+    one = materialize(one, "pairs")
     both = _with(_with(one, one, marked, "a", "b"), one, marked, "b", "a")
     apart = F.expr(" + ".join(f"bit_count(a_m{i} ^ b_m{i})" for i in range(PARITIES)))
     total = F.col("a_size") + F.col("b_size")
     # Sets that share s of their n shingles together differ in n - 2s. The margin is for rounding.
     may = (F.least("a_size", "b_size") + 1e-6 >= similarity * F.greatest("a_size", "b_size")) & (
         (total - apart) / 2 + 1e-6 >= similarity / (1 + similarity) * total)
-    return materialize(both.where(may).select("a", "b"), "pairs")
+    found = materialize(both.where(may).select("a", "b", "token", "a_size", "b_size"), "pairs")
+    discard(one)
+    return found
 
 
 def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
-    """The different pairs ``a, b`` whose sets have at least this Jaccard similarity."""
-    both = _with(_with(pairs, pairs, sets, "a", "b"), pairs, sets, "b", "a")
-    total, shared = F.size("a_hashes") + F.size("b_hashes"), F.size(F.array_intersect("a_hashes", "b_hashes"))
-    return both.select("a", "b", total.alias("total"), shared.alias("shared")).where(F.col("shared") / (F.col("total") - F.col("shared")) >= similarity).select("a", "b")
+    """The different pairs ``a, b`` whose sets have at least this Jaccard similarity.
+
+    The pairs of a shingle are decided together, so a set travels once for each
+    of its shingles that still has pairs, not once for each pair; where the sets
+    of a shingle are too many for one task, they are cut into tiles.
+    """
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_size").alias("size")), F.struct(F.col("b").alias("node"), F.col("b_size").alias("size"))))
+    loads = pairs.select("token", ends.alias("end")).distinct().groupBy("token").agg(F.sum("end.size").alias("load"))
+    tiles = F.ceil(2 * F.col("load") / GROUP_HASHES)
+    tile = lambda node: F.pmod(F.xxhash64(node), F.col("tiles"))
+    dealt = pairs.join(loads.select("token", tiles.alias("tiles")), "token").select("token", tile("a").alias("x"), tile("b").alias("y"), "a", "b")
+    dealt = materialize(dealt, "dealt")
+    key = ["token", "x", "y"]
+    members = dealt.select(*key, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select(*key, "node", "hashes")
+
+    def decide(held: pd.DataFrame, asked: pd.DataFrame) -> pd.DataFrame:
+        of = dict(zip(held["node"].tolist(), held["hashes"]))
+        keep = np.zeros(len(asked), bool)
+        for n, (a, b) in enumerate(zip(asked["a"].tolist(), asked["b"].tolist())):
+            shared = len(np.intersect1d(of[a], of[b], assume_unique=True))
+            keep[n] = shared / (len(of[a]) + len(of[b]) - shared) >= similarity
+        return asked.loc[keep, ["a", "b"]]
+
+    asked = dealt.select(*(F.col(c).alias(f"of_{c}") for c in key), "a", "b")
+    return members.groupBy(*key).cogroup(asked.groupBy(*(f"of_{c}" for c in key))).applyInPandas(decide, "a long, b long")
