@@ -45,7 +45,7 @@ SALTS = 32
 # Hashes of the sets that one task decides together.
 GROUP_HASHES = 4_000_000
 # 64-bit words of a set's parities, which bound what two sets can share.
-PARITIES = 8
+PARITIES = 32
 
 
 def fingerprint(text: bytes, words: int = 3, seed: int = SEED) -> int:
