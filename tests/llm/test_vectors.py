@@ -70,19 +70,54 @@ def test_tile_pairs_leave_nothing_out():
 
 
 def plain_top(rows, is_query, k, scale):
-    by = {}
-    for i, v in rows:
-        if i is not None and fine(v):
-            by[i] = min(by.get(i, v), v)
-    whole = {i: [math.floor(scale * x) for x in v] for i, v in by.items()}
+    whole = [(i, [math.floor(scale * x) for x in v]) for i, v in rows if i is not None and fine(v)]
     out = []
-    for q, v in whole.items():
+    for n, (q, v) in enumerate(whole):
         if is_query(q):
-            scored = sorted((-max(-(topk.LONG // 2), min(topk.LONG // 2, sum(a * b for a, b in zip(v, w)))), i) for i, w in whole.items() if i != q and len(w) == len(v))
-            out += [(q, n + 1, i, -s) for n, (s, i) in enumerate(scored[:k])]
+            score = lambda w: max(-(2**63), min(2**63 - 1, sum(a * b for a, b in zip(v, w))))
+            scored = sorted((-score(w), i) for m, (i, w) in enumerate(whole) if m != n and len(w) == len(v))
+            out += [(q, p + 1, i, -s) for p, (s, i) in enumerate(scored[:k])]
     return sorted(out)
 
 
+def test_top_k_of_rows_that_share_an_id(spark):
+    rows = [(1, [2.0, 0.0]), (1, [3.0, 0.0]), (2, [1.0, 0.0]), (1, [3.0, 0.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df.where("vec_id = 2"), 5, 256).collect()
+    assert sorted(map(tuple, got)) == [(2, 1, 1, 196608), (2, 2, 1, 196608), (2, 3, 1, 131072)]
+    assert sorted(map(tuple, topk.top_k(df, df, 2, 256).collect())) == plain_top(rows, lambda q: True, 2, 256)
+
+
+def test_top_k_over_the_whole_range_of_longs(spark):
+    rows = [(i, [float(2**30) * s, float(i)]) for i, s in enumerate([1, -1, 1, -1, 0.98, -0.97, 0.99])] + [(50, [float(2**28 * 15) / 4, 1.0])]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.top_k(df, df, 8, 2).collect()
+    assert max(abs(r["score"]) for r in got) > 2**61
+    assert sorted(map(tuple, got)) == plain_top(rows, lambda q: True, 8, 2)
+    assert sorted(map(tuple, topk.top_k(df, df, 8, 64).collect())) == plain_top(rows, lambda q: True, 8, 64)
+
+
+def test_pairs_exactly_at_the_threshold_are_linked(spark):
+    # (19, 0) and (18.05, ...) scaled: cosine 19/20 from whole numbers 19, 20 and the root of 39.
+    draw = np.random.default_rng(3)
+    rows = []
+    for n in range(300):
+        k, at = float(2 ** int(draw.integers(0, 5))), draw.permutation(12)
+        a, b = np.zeros(12), np.zeros(12)
+        a[at[0]] = 20 * k
+        b[at[0]] = 19
+        b[at[1:6]] = [5, 3, 2, 1, 0]
+        b[at[7]] = 0
+        rows += [(2 * n, a.tolist()), (2 * n + 1, b.tolist())]
+    exact = [(i, v) for i, v in rows]
+    df = spark.createDataFrame(exact, "vec_id long, embedding array<double>")
+    got = {r["vec_id"]: r["n_links"] for r in cosine.near_vectors(df, 0.95).collect()}
+    x = np.array([v for _, v in exact])
+    plain = (x @ x.T) / np.sqrt(np.outer((x * x).sum(1), (x * x).sum(1))) >= 0.95
+    assert [got[i] for i in range(len(exact))] == (plain.sum(axis=1) - 1).tolist()
+    assert plain[0, 1]
+
+
 @pytest.mark.parametrize("sizes", [{}, {"candidates_per_block": 40, "queries_per_block": 7, "bins": 10}])
 def test_top_k(spark, sizes):
     rows = [r for r in hard_rows(1, 6) if r[0] not in (509,)]

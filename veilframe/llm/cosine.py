@@ -50,8 +50,14 @@ def unit(x: np.ndarray) -> np.ndarray:
     return x / np.sqrt((x * x).sum(axis=1, keepdims=True))
 
 
+def turned(x: np.ndarray, axes: dict[int, np.ndarray]) -> np.ndarray:
+    """Unit vectors in the coordinates of the axes."""
+    y = unit(x)
+    return y @ axes[x.shape[1]] if x.shape[1] in axes else y
+
+
 def tile_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x and y with a product of at least ``threshold``; all rows have length 1."""
+    """Rows of x and y whose product reaches ``threshold`` up to rounding; all rows have length 1."""
     dim = x.shape[1]
     if not len(x) or not len(y):
         return np.empty(0, int), np.empty(0, int)
@@ -59,25 +65,30 @@ def tile_pairs(x: np.ndarray, y: np.ndarray, threshold: float) -> tuple[np.ndarr
     tail_x, tail_y = rest(x), rest(y)
     at = min(STEP, dim)
     part = x[:, :at] @ y[:, :at].T
-    if at < dim:
-        keep = part + tail_x[:, at:at + 1] * tail_y[None, :, at] >= threshold - SLACK
-    else:
-        keep = part >= threshold
+    keep = part + (tail_x[:, at:at + 1] * tail_y[None, :, at] if at < dim else 0) >= threshold - SLACK
     i, j = np.nonzero(keep)
     part = part[i, j]
     while at < dim and len(i):
         to = min(at + STEP, dim)
         part = part + np.einsum("ij,ij->i", x[i, at:to], y[j, at:to])
-        keep = part + tail_x[i, to] * tail_y[j, to] >= threshold - SLACK if to < dim else part >= threshold
+        keep = part + (tail_x[i, to] * tail_y[j, to] if to < dim else 0) >= threshold - SLACK
         i, j, part, at = i[keep], j[keep], part[keep], to
     return i, j
 
 
-def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
+def cosines(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Cosines of the rows of x and y as they are, scaled by powers of two only, which is exact."""
+    whole = lambda m: np.ldexp(m, -np.frexp(np.abs(m).max(axis=1, keepdims=True, initial=0))[1])
+    x, y = whole(x), whole(y)
+    return (x * y).sum(axis=1) / np.sqrt((x * x).sum(axis=1) * (y * y).sum(axis=1))
+
+
+def _compare(rows: pd.DataFrame, threshold: float, axes: dict[int, np.ndarray]) -> pd.DataFrame:
     """Two blocks, or one with itself: rows (a, null, links of a) and links (a, b, null)."""
     a, b = rows["a"].iloc[0], rows["b"].iloc[0]
     blocks = {r["block"]: r for _, r in rows.iterrows()}
-    (n1, x), (n2, y) = unpacked(blocks[a]), unpacked(blocks[b])
+    (n1, plain_x), (n2, plain_y) = unpacked(blocks[a]), unpacked(blocks[b])
+    x, y = (turned(m, axes) for m in (plain_x, plain_y))
     many = {k: np.asarray(r["many"], np.int64) for k, r in blocks.items()}
     first, second = np.argsort(x[:, 0], kind="stable"), np.argsort(y[:, 0], kind="stable")
     reach = np.sqrt(2 - 2 * threshold) + SLACK
@@ -91,6 +102,9 @@ def _compare(rows: pd.DataFrame, threshold: float) -> pd.DataFrame:
                 continue
             i, j = tile_pairs(x[one], y[two], threshold)
             i, j = one[i], two[j]
+            # Turned coordinates are rounded; what counts is the cosine of the vectors themselves.
+            keep = cosines(plain_x[i], plain_y[j]) >= threshold
+            i, j = i[keep], j[keep]
             if a == b:
                 # A tile with itself finds every pair twice and every vector with itself.
                 keep = i < j if p == q else np.ones(len(i), bool)
@@ -131,13 +145,11 @@ def near_vectors(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Da
         for rows in batches:
             size = rows["embedding"].map(len)
             for dim, group in rows.groupby(size):
-                y = unit(np.stack(group["embedding"].to_numpy()).astype(np.float64))
-                if dim in axes:
-                    y = y @ axes[dim]
-                yield pd.DataFrame({"node": group["node"], "many": group["many"], "dim": dim, "first": y[:, 0], "y": list(y)})
+                x = np.stack(group["embedding"].to_numpy()).astype(np.float64)
+                yield pd.DataFrame({"node": group["node"], "many": group["many"], "dim": dim, "first": turned(x, axes)[:, 0], "y": list(x)})
 
-    turned = nodes.select("node", "many", "embedding").mapInPandas(turn, "node long, many long, dim int, first double, y array<double>")
-    placed = materialize(numbered_rows(turned, ["dim"], ["first", "node"], "_n").withColumn(
+    placed_by = nodes.select("node", "many", "embedding").mapInPandas(turn, "node long, many long, dim int, first double, y array<double>")
+    placed = materialize(numbered_rows(placed_by, ["dim"], ["first", "node"], "_n").withColumn(
         "block", F.expr(f"(_n - 1) div {block}")), "placed")
     counts = placed.groupBy("dim", "block").agg(
         F.min("first").alias("low"), F.max("first").alias("high"),
@@ -154,7 +166,7 @@ def near_vectors(vectors: DataFrame, threshold: float, block: int = BLOCK) -> Da
     data = blocks.select("dim", "block", "n", "idents", "matrix", "many")
     left = pairs.withColumn("block", F.col("a")).join(data, ["dim", "block"])
     right = pairs.where("a <> b").withColumn("block", F.col("b")).join(data, ["dim", "block"])
-    met = left.unionByName(right).groupBy("dim", "a", "b").applyInPandas(lambda rows: _compare(rows, threshold), "a long, b long, n long")
+    met = left.unionByName(right).groupBy("dim", "a", "b").applyInPandas(lambda rows: _compare(rows, threshold, axes), "a long, b long, n long")
     met = materialize(met, "met")
     sums = met.where("n is not null").groupBy(F.col("a").alias("node")).agg(F.sum("n").alias("others"))
     roots = components(met.where("b is not null").select("a", "b"))

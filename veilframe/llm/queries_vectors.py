@@ -23,13 +23,13 @@ def op11_qd_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
 # The scores are whole numbers, so SQL finds the same rows; one row of the cross product for each score.
 OP7_SQL = """
 with v as (
-    select vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
+    select row_number() over () as rid, vec_id, list_transform(embedding, lambda x: floor(256 * x::double)) as v from embeddings
     where vec_id is not null and embedding is not null
       and list_count(embedding) = len(embedding) and len(list_filter(embedding, lambda x: not isfinite(x))) = 0),
 s as (
-    select q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
-    from v q join v c on q.vec_id <> c.vec_id where q.vec_id % 50 = 0),
-r as (select query_id, row_number() over (partition by query_id order by score desc, vec_id) as n, vec_id, score from s)
+    select q.rid, q.vec_id as query_id, c.vec_id, list_inner_product(q.v, c.v)::bigint as score
+    from v q join v c on q.rid <> c.rid where q.vec_id % 50 = 0),
+r as (select rid, query_id, row_number() over (partition by rid order by score desc, vec_id) as n, vec_id, score from s)
 select query_id, n::int as rank, vec_id, score from r where n <= 5
 """
 

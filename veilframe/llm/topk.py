@@ -24,29 +24,31 @@ from veilframe.session import materialize
 CANDIDATES = 4096  # of a block
 QUERIES = 1024
 BINS = 4096
-LONG = 2**63 - 1
+LEAST, LONG = -(2**63), 2**63 - 1
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, candidates_per_block: int = CANDIDATES,
           queries_per_block: int = QUERIES, bins: int = BINS) -> DataFrame:
     """``query_id, rank, vec_id, score``: the ``k`` best candidates of every query.
 
-    ``vectors(vec_id, embedding)`` are the candidates, ``queries(vec_id)`` the
-    ids of those that are queries. Components become floor(scale * x); the score
-    is the inner product as a long (held at the ends of the range of longs). A
-    vector is no candidate of the query with its id. Ties go to the smaller
-    vec_id. Null vectors, and those with null or non-finite components, and
-    null ids take no part; of rows that share an id the smallest vector
-    stands; vectors of another length than the query's are no candidates; a
-    query with fewer than ``k`` candidates gets them all, one without any, no
-    row. Vectors and queries without rows give an empty table.
+    ``vectors(vec_id, embedding)`` are the candidates; the rows whose id is one
+    of ``queries(vec_id)`` are the queries. Components become floor(scale * x);
+    the score is the inner product as a long; one that no long holds counts as
+    the nearest long. Every row is a candidate of every query but itself, also
+    rows that share an id with each other or with the query; each row of a
+    repeated id is a query of its own. Ties go to the smaller vec_id. Null
+    vectors, and those with null or non-finite components, and null ids take no
+    part; vectors of another length than the query's are no candidates; a query
+    with fewer than ``k`` candidates gets them all, one without any, no row.
+    Vectors and queries without rows give an empty table.
     """
-    own = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).groupBy(F.col("vec_id").cast("long").alias("vec_id")).agg(
-        F.min("embedding").alias("embedding"))
+    own = vectors.where(F.col("vec_id").isNotNull() & usable("embedding")).select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     # Above the range of longs floor gives no right number; doubles are whole there anyway.
     exact = F.transform("embedding", lambda x: F.when(F.abs(x.cast("double")) < 2.0**52, F.floor(x.cast("double") * scale).cast("double")).otherwise(x.cast("double") * scale))
-    whole = materialize(own.select("vec_id", F.size("embedding").alias("dim"), exact.alias("v")), "vectors")
-    asked = whole.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi")
+    # Rows are told apart by numbers that rise with their ids, so the smaller number is the smaller id.
+    numbered = own.orderBy("vec_id").withColumn("row", F.monotonically_increasing_id())
+    whole = materialize(numbered.select("row", "vec_id", F.size("embedding").alias("dim"), exact.alias("v")), "vectors")
+    asked = whole.join(queries.select(F.col("vec_id").cast("long").alias("vec_id")).distinct(), "vec_id", "left_semi").select(*whole.columns)
     found = whole.groupBy("dim").agg(F.count(F.lit(1)).alias("n")).join(
         asked.groupBy("dim").agg(F.count(F.lit(1)).alias("q"), F.max(F.aggregate(
             "v", F.lit(0.0), lambda a, x: a + x * x)).alias("q2")), "dim").join(
@@ -57,12 +59,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, cand
     top = shape.agg(F.max(F.col("q_norm") * F.col("c_norm"))).first()[0]
     if top is None:
         return vectors.sparkSession.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    bound = int(min(top * 1.0001 + 2, LONG // 2))
+    bound = int(top * 1.0001 + 2) if top < 2.0**64 else -LEAST
+    lowest, highest = max(-bound, LEAST), min(bound, LONG)
 
     blocked = lambda rows, count: rows.join(shape, "dim").withColumn(
-        "block", F.pmod(F.xxhash64("vec_id"), F.col(count)))
-    c = materialize(packed(blocked(whole, "c_blocks"), ["dim", "block"], "vec_id", "v"), "candidates")
-    q = materialize(packed(blocked(asked, "q_blocks"), ["dim", "block"], "vec_id", "v"), "queries")
+        "block", F.pmod(F.xxhash64("row"), F.col(count)))
+    c = materialize(packed(blocked(whole, "c_blocks"), ["dim", "block"], "row", "v"), "candidates")
+    q = materialize(packed(blocked(asked, "q_blocks"), ["dim", "block"], "row", "v"), "queries")
     every = lambda rows, own_name, other, count: rows.join(shape.select("dim", count), "dim").withColumn(
         other, F.explode(F.sequence(F.lit(0).cast("long"), F.col(count) - 1))).withColumnRenamed("block", own_name)
     fields = ["dim", "qb", "cb", "kind", "n", "idents", "matrix", "state"]
@@ -71,8 +74,8 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, cand
     q_plain = every(q, "qb", "cb", "c_blocks").withColumns({"kind": F.lit("q"), "state": none}).select(*fields)
 
     state = materialize(blocked(asked, "q_blocks").select(
-        "dim", "block", F.col("vec_id").alias("query_id"), F.lit(-bound).alias("low"), F.lit(0).cast("long").alias("above")), "state")
-    width = 2 * bound + 1
+        "dim", "block", F.col("row").alias("query_id"), F.lit(lowest).cast("long").alias("low"), F.lit(0).cast("long").alias("above")), "state")
+    width = highest - lowest + 1
     while width > 1:
         step = -(-width // bins)
         hist = _passes(c_rows, q_plain, state, every).applyInPandas(_counter(k, width, step), "query_id long, bin long, n long")
@@ -82,14 +85,17 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int, scale: int = 256, cand
         held = counts.withColumns({"to": run, "before": run - F.col("n")}).join(state, "query_id").where(
             (F.col("above") + F.col("before") < k) & (F.col("above") + F.col("to") >= k))
         # With fewer than k candidates no bin holds the k-th: the interval becomes its lowest number.
-        hit = held.select("query_id", (F.col("low") + F.col("bin") * step).alias("_low"), (F.col("above") + F.col("before")).alias("_above"))
+        hit = held.select("query_id", (F.col("low").cast("decimal(38,0)") + F.col("bin") * F.lit(step).cast("decimal(25,0)")).cast("long").alias("_low"), (F.col("above") + F.col("before")).alias("_above"))
         state = materialize(state.join(hit, "query_id", "left").select(
             "dim", "block", "query_id", F.coalesce("_low", "low").alias("low"), F.coalesce("_above", "above").alias("above")), "state")
         width = step
     chosen = _passes(c_rows, q_plain, state, every).applyInPandas(
-        lambda rows: _choose(rows, k), "query_id long, vec_id long, score long")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "vec_id"))
-    return chosen.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+        lambda rows: _choose(rows, k), "query_id long, row long, score long")
+    rank = F.row_number().over(Window.partitionBy("query_id").orderBy(F.col("score").desc(), "row"))
+    best = chosen.withColumn("rank", rank).where(F.col("rank") <= k)
+    ids = whole.select("row", "vec_id")
+    named = best.join(ids, "row").select(F.col("query_id").alias("row"), "rank", "vec_id", "score")
+    return named.join(ids.withColumnRenamed("vec_id", "query_id"), "row").select("query_id", "rank", "vec_id", "score")
 
 
 def _passes(c_rows: DataFrame, q_rows: DataFrame, state: DataFrame, every):
@@ -107,7 +113,7 @@ def _passes(c_rows: DataFrame, q_rows: DataFrame, state: DataFrame, every):
 
 
 def _scores(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray] | None:
-    """Query ids, candidate ids, whole scores, which of them count, and the state (low, above) of the queries."""
+    """Numbers of queries and candidates, whole scores, which of them count, and the state (low, above) of the queries."""
     kinds = {r["kind"]: r for _, r in rows.iterrows()}
     if len(kinds) < 3:
         return None
@@ -118,7 +124,7 @@ def _scores(rows: pd.DataFrame) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.
         scores = (q @ c.T).astype(np.int64)
     else:
         product = np.array([[int(x) for x in r] for r in q], object).reshape(q.shape) @ np.array([[int(x) for x in r] for r in c], object).reshape(c.shape).T
-        scores = np.clip(product, -(LONG // 2), LONG // 2).astype(np.int64)
+        scores = np.clip(product, LEAST, LONG).astype(np.int64)
     return q_ids, c_ids, scores, q_ids[:, None] != c_ids[None, :], state
 
 
@@ -132,13 +138,16 @@ def _count(rows: pd.DataFrame, k: int, width: int, step: int) -> pd.DataFrame:
         return pd.DataFrame({"query_id": [], "bin": [], "n": []}).astype("int64")
     q_ids, _, scores, counts, state = made
     low = state[:, :1]
-    inside = counts & (scores >= low) & (scores - low < width)
-    held = np.where(inside, scores, low - 1)
+    # Differences of longs can need all 64 bits.
+    apart = scores.view(np.uint64) - np.ascontiguousarray(low).view(np.uint64)
+    inside = counts & (scores >= low)
+    if width < 2**64:
+        inside &= apart < np.uint64(width)
+    held = np.where(inside, (apart // np.uint64(step)).astype(np.int64), -1)
     if held.shape[1] > k:
-        floor = np.partition(held, held.shape[1] - k, axis=1)[:, held.shape[1] - k][:, None]
-        inside &= held >= low + (floor - low) // step * step
+        inside &= held >= np.partition(held, held.shape[1] - k, axis=1)[:, held.shape[1] - k][:, None]
     row, col = np.nonzero(inside)
-    bins = (scores[row, col] - low[row, 0]) // step
+    bins = held[row, col]
     order = np.lexsort((bins, row))
     row, bins = row[order], bins[order]
     new = np.flatnonzero(np.concatenate(([True], (np.diff(row) != 0) | (np.diff(bins) != 0)))) if len(row) else np.empty(0, int)
@@ -148,13 +157,13 @@ def _count(rows: pd.DataFrame, k: int, width: int, step: int) -> pd.DataFrame:
 def _choose(rows: pd.DataFrame, k: int) -> pd.DataFrame:
     made = _scores(rows)
     if made is None:
-        return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
+        return pd.DataFrame({"query_id": [], "row": [], "score": []}).astype("int64")
     q_ids, c_ids, scores, counts, state = made
     kth, above = state[:, :1], state[:, 1]
     row, col = np.nonzero(counts & (scores > kth))
     tied = counts & (scores == kth)
-    # Candidates are in order of id, so the first ties of a row are the smallest ids.
+    # Candidates are in order of their numbers and so of their ids: the first ties of a row are the smallest.
     tied &= np.cumsum(tied, axis=1) <= (k - above)[:, None]
     r2, c2 = np.nonzero(tied)
     row, col = np.concatenate((row, r2)), np.concatenate((col, c2))
-    return pd.DataFrame({"query_id": q_ids[row], "vec_id": c_ids[col], "score": scores[row, col]})
+    return pd.DataFrame({"query_id": q_ids[row], "row": c_ids[col], "score": scores[row, col]})
