@@ -19,6 +19,7 @@ from veilframe.operators.many_rules import match_many
 from veilframe.operators.overlaps import select_spans
 from veilframe.operators.ranking import numbered_rows, running_sum
 from veilframe.operators.rules import builtin_rules, custom_rule
+from veilframe.operators.windows import match_long
 from veilframe.plans import oracle as o
 from veilframe.plans.derived import derived, derived_sql, table
 from veilframe.session import spread
@@ -227,6 +228,18 @@ def resolve_overlaps_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
     return as_items(select_spans(moved, "lang"), "lang")
 
 
+@query("windows_joined", f"""
+    with sizes as (select doc_id, doc_id // 50 as part, sum(length(coalesce(text, '')) + 1) over (
+        partition by doc_id // 50 order by doc_id rows between unbounded preceding and 1 preceding) as ahead from documents)
+    select part, start_pos + coalesce(ahead, 0)::bigint as start_pos, end_pos + coalesce(ahead, 0)::bigint as end_pos, category, value
+    from ({_cands}) as c join sizes on c.id = 'd' || sizes.doc_id""")
+def windows_joined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Fifty documents after the other as one text, scanned in windows with overlap: every match once, at its place."""
+    docs = table(spark, sf_dir, "documents").select(F.expr("doc_id div 50").alias("part"), "doc_id", F.coalesce("text", F.lit("")).alias("text"))
+    joined = docs.groupBy("part").agg(F.array_join(F.array_sort(F.collect_list(F.struct("doc_id", "text")))["text"], "\n").alias("text"))
+    return as_items(match_long(joined, "part", rules=WORD_RULES, width=1 << 15, margin=1 << 10), "part")
+
+
 # Pairs of neighbouring long words, each pair a rule of its own: thousands of rules.
 _pairs = """
     with lines as (select doc_id, unnest(string_split_regex(coalesce(text, ''), '[\\t\\n\\f\\r\\x0b]')) as line from documents),
