@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import re
 import shutil
 import tempfile
@@ -58,6 +59,15 @@ def discard(*tables: DataFrame) -> None:
             place.getFileSystem(spark._jsc.hadoopConfiguration()).delete(place, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let Spark remove the shuffle files of jobs that are done, which it does when the driver collects its garbage.
+
+    Otherwise they lie on the executors' disks until the driver runs short of memory.
+    """
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 def fits(df: DataFrame, rows: int = BROADCAST_ROWS, most_bytes: int = BROADCAST_BYTES) -> bool:
     """Whether a table has at most ``rows`` rows and ``most_bytes`` bytes (as text); stops reading right behind the limit of rows."""
     size = F.octet_length(F.to_json(F.struct(*(F.col(f"`{c}`") for c in df.columns))))
