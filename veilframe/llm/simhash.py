@@ -26,7 +26,7 @@ from veilframe.llm.graph import components, united
 from veilframe.llm.memory import lean
 from veilframe.llm.tokens import text_slices
 from veilframe.operators.lookup import HOT_SHARE, lookup
-from veilframe.session import discard, fits, materialize
+from veilframe.session import discard, fits, free_shuffles, materialize
 
 BITS = 2
 RADIUS = 1
@@ -284,12 +284,15 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
 
     def alike(pairs: DataFrame) -> DataFrame:
         may = _may_be_alike(pairs, marked, similarity)
+        free_shuffles(docs.sparkSession)
         needed = materialize(may.select(F.explode(F.array("a", "b")).alias("node")).distinct(), "needed")
         found = own.select("text").mapInArrow(lean(sets), "node long, hashes array<long>").join(
             F.broadcast(needed) if fits(needed) else needed, "node", "left_semi").dropDuplicates(["node"])
         held = materialize(found, "sets")
+        free_shuffles(docs.sparkSession)
         links = materialize(_alike(may, held, similarity), "links")
         discard(held, needed, may)
+        free_shuffles(docs.sparkSession)
         return links
 
     roots = _similar_roots(placed, alike, similarity)
