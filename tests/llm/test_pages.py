@@ -7,6 +7,8 @@ from html import unescape
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from veilframe.llm import html_text, quality
 from veilframe.llm.html_text import render
 from veilframe.llm.queries_pages import op5_layout_text, op8_co_trained_quality
@@ -91,6 +93,54 @@ def test_quality_query(spark):
     assert sorted((r.doc_id, r.score) for r in small) == sorted((r.doc_id, r.score) for r in again)
 
 
+def test_whole_table_is_the_pool(spark):
+    """The sums over a table are those over its rows at hand, however it is cut; the model is that of plain arrays."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet").where("quality is not null").dropDuplicates(["doc_id"])
+    found = quality.features(docs).join(labels, "doc_id", "left").orderBy("doc_id").toPandas()
+    text = np.array([np.frombuffer(x) for x in found["text_view"]])
+    page = np.array([np.frombuffer(x) for x in found["page_view"]])
+    known = found["quality"].notna().to_numpy()
+    model = quality.co_train(text[known], page[known], found["quality"].to_numpy(float)[known], text[~known], page[~known])
+    for many in (1, 7):
+        fitted = quality.fit(docs.repartition(many), labels)
+        assert fitted.rounds == model.rounds and model.rounds[0][0] > 300
+        for a, b in zip(fitted.score(text, page), model.score(text, page)):
+            assert np.allclose(a, b, rtol=0, atol=1e-9)
+    rows = [model.text.standard(text), model.page.standard(page)]
+    views = [model.text, model.page]
+    whole = quality.sums(views, views, rows)
+    halves = [quality.sums(views, views, [x[s] for x in rows]) for s in (slice(None, 301), slice(301, None))]
+    assert (whole == halves[0] + halves[1]).all() and whole.any()
+    # The sums against plain loops.
+    p = [1 / (1 + np.exp(-v.odds(x))) for v, x in zip(views, (text, page))]
+    (_, (n, pull, full)), _ = quality.parts(whole, [len(v.weights) for v in views])
+    sure = p[1] >= quality.SURE
+    z = model.text.laid(text[sure]) / quality.UNIT
+    own = 1 / (1 + np.exp(-z @ model.text.weights))
+    assert n == sure.sum()
+    assert np.allclose(pull, ((1 - own)[:, None] * z).sum(axis=0), atol=n * 6 / 1024)
+    assert np.allclose(full, sum(w * np.outer(x, x) for w, x in zip(np.maximum(own * (1 - own), 1 / 1024), z)), atol=n * 36 / 1024)
+
+
+def test_hot_ids_do_not_fill_the_sample(spark, monkeypatch):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    labels = spark.read.parquet(f"{SF}/labels.parquet")
+    one = labels.where("quality = 1").orderBy("doc_id").first().doc_id
+    hot = spark.range(20_000).select(F.lit(one).alias("doc_id"), F.concat(F.lit("again "), F.col("id") % 3).alias("text"), F.lit("en").alias("lang"),
+                                     F.lit("s").alias("source"), F.lit(7).cast("long").alias("n_chars"))
+    taken = []
+    teach = quality.teach
+    monkeypatch.setattr(quality, "teach", lambda text, page, label, n, others: taken.append((len(text), n.sum())) or teach(text, page, label, n, others))
+    many = spark.range(20_000).select(F.lit(one).alias("doc_id"), F.lit(1).alias("quality"), F.lit(0).alias("toxic"))
+    model = quality.fit(docs.unionByName(hot), labels.unionByName(many))
+    (rows, weight), = taken
+    assert rows < 200 and weight > 20_000 * 20_000
+    assert np.isfinite(model.combine).all()
+    quality.fit(docs.unionByName(hot), labels, labelled=20)
+    assert taken[1][0] <= 20
+
+
 def test_views_teach_each_other():
     """With few labels, a view that is told by the other's sure rows gets better."""
     draw = np.random.default_rng(0)
