@@ -60,6 +60,29 @@ def test_hot_keys_spread(spark):
     assert sharding.place(df.limit(0), ["k"], [F.col("t")], ["a"], 11).collect() == []
 
 
+def test_equal_rows_of_a_hot_key_spread(spark):
+    """A key whose rows are all equal fills no shard; small tables keep their keys whole."""
+    names = [f"s{i}" for i in range(64)]
+    rows = spark.range(10_000).select(F.when(F.col("id") >= 6000, F.col("id")).alias("k"), F.when(F.col("id") >= 6000, F.lit("t")).alias("t"))
+    for df in (rows.coalesce(1), rows.repartition(5)):
+        per = {r.shard: r["count"] for r in sharding.place(df, ["k"], [F.col("t")], names).groupBy("shard").count().collect()}
+        assert sum(per.values()) == 10_000 and len(per) == 64 and max(per.values()) < 6 * 10_000 / 64
+    small = spark.createDataFrame([(i % 20, str(i)) for i in range(400)], "k int, t string")
+    got = sharding.place(small, ["k"], [F.col("t")], names).collect()
+    assert len({(r.k, r.shard) for r in got}) == 20
+
+
+def test_sharding_hard_rows(spark):
+    texts = [None, "", " ", "x" * 100_000, "a", "a"] * 50
+    df = spark.createDataFrame([(None if i % 3 else i, t, i) for i, t in enumerate(texts)], "k long, t string, slot long")
+    got = sharding.place(df, ["k"], [F.col("t"), F.octet_length("t")], ["a", "b", "c"], 101)
+    assert got.columns == ["k", "t", "slot", "shard"]
+    rows = got.collect()
+    assert sorted((str(r.k), str(r.t)) for r in rows) == sorted((str(r.k), str(r.t)) for r in df.collect())
+    table = sharding.lookup_table(["a", "b", "c"], 101)
+    assert all(r.shard == "abc"[table[r.slot]] for r in rows)
+
+
 def test_sharding_query(spark, tmp_path):
     rows = op2_table_sharding(spark, SF)
     table = sharding.lookup_table(SHARDS)
