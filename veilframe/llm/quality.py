@@ -33,14 +33,16 @@ from veilframe.session import discard, materialize, spread
 
 # Bound of the labelled rows that are fitted on.
 LABELLED = 16_000
-ROUNDS = 4
-STEPS = 2  # of Newton's method in a round; each one is a pass over the table
+ROUNDS = 3
+STEPS = 6  # of Newton's method in a round; each one is a pass over the table
 SURE = 0.97
 HELD_BACK = 4  # every fourth labelled row calibrates
 BUCKETS = 64  # for hashed metadata
 WORDS, GRAMS = 64, 64  # buckets for hashed words and for runs of three bytes
 # A feature is a whole number of 1/256 of its spread, a row's weight and its residual of 1/1024.
 UNIT, PART, REACH = 256, 1024, 6
+# Hashed features of the text count this much of their spread, so that a few hundred labels don't fit words by chance.
+HASHED = 0.25
 
 SYMBOLS = np.frombuffer(b"#$%&*@^~<>{}[]\\/=+_`", np.uint8)
 
@@ -113,7 +115,10 @@ class View:
 
     def standard(self, x: np.ndarray) -> np.ndarray:
         """Features in whole parts of their spread over the labelled rows."""
-        return np.rint(np.clip((x - self.mean) / self.spread, -REACH, REACH) * UNIT).astype(np.int16)
+        z = np.clip((x - self.mean) / self.spread, -REACH, REACH)
+        if self.squares:
+            z[:, self.squares:] *= HASHED
+        return np.rint(z * UNIT).astype(np.int16)
 
     def laid(self, x: np.ndarray) -> np.ndarray:
         return self.columns(self.standard(x))
@@ -226,6 +231,9 @@ def teach(text: np.ndarray, page: np.ndarray, label: np.ndarray, n: np.ndarray,
     most = [(n * (label == kind))[~held].sum() for kind in (0, 1)]
     for _ in range(rounds):
         teachers = [replace(view) for view in views]
+        for view in views:
+            # From the start again: Newton's steps overshoot from weights that are sure of rows which are now told otherwise.
+            view.weights = np.zeros(len(view.weights))
         for _ in range(STEPS):
             found = parts(ask(views, teachers), [z.shape[1] for z in laid])
             for view, z, kinds in zip(views, laid, found):
