@@ -281,6 +281,9 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
     placed = materialize(_shared_shingles(prints), "shared")
     marked = prints.select("node", "size", *marks).join(placed.select("node").distinct(), "node", "left_semi")
     marked = materialize(marked.dropDuplicates(["node"]), "marks")
+    ids = materialize(prints.select("doc_id", "node"), "ids")
+    discard(prints)
+    free_shuffles(docs.sparkSession)
 
     def alike(pairs: DataFrame) -> DataFrame:
         may = _may_be_alike(pairs, marked, similarity)
@@ -290,19 +293,20 @@ def similar_documents(docs: DataFrame, words: int = 5, similarity: float = 0.8)
             F.broadcast(needed) if fits(needed) else needed, "node", "left_semi").dropDuplicates(["node"])
         held = materialize(found, "sets")
         free_shuffles(docs.sparkSession)
-        links = materialize(_alike(may, held, similarity), "links")
-        discard(held, needed, may)
+        dealt = _dealt(may)
+        links = materialize(_alike(dealt, held, similarity), "links")
+        discard(held, needed, may, dealt)
         free_shuffles(docs.sparkSession)
         return links
 
     roots = _similar_roots(placed, alike, similarity)
     discard(placed, marked)
-    nodes = prints.groupBy("node").agg(F.min("doc_id").alias("first_id"))
+    nodes = ids.groupBy("node").agg(F.min("doc_id").alias("first_id"))
     members = materialize(nodes.join(roots, "node", "left").select("node", "first_id", F.coalesce("root", "node").alias("root")), "members")
     least = materialize(members.groupBy("root").agg(F.min("first_id").alias("component_id")), "least")
     of_node = materialize(lookup(members.drop("first_id"), least, ["root"]).drop("root"), "components")
     discard(roots, members, least)
-    return lookup(prints.select("doc_id", "node"), of_node, ["node"]).select("doc_id", "component_id")
+    return lookup(ids, of_node, ["node"]).select("doc_id", "component_id")
 
 
 def _lists(values: list[np.ndarray]) -> pa.Array:
@@ -355,12 +359,13 @@ def _similar_roots(placed: DataFrame, alike: Callable[[DataFrame], DataFrame], s
     if not open_lists.where(F.col("n") > LONG_CROWDED).isEmpty():
         other = open_lists.where("node <> other and comp <> other_comp").select(F.col("node").alias("a"), F.col("other").alias("b"), "token")
         links = links.unionByName(alike(other))
+        discard(open_lists, roots)
         roots = materialize(components(links), "roots")
         open_lists = _unconnected(placed, roots)
     if open_lists.isEmpty():
         return roots
     links = links.unionByName(alike(_open_pairs(open_lists, similarity)))
-    discard(open_lists)
+    discard(open_lists, roots)
     return materialize(components(links), "roots")
 
 
@@ -368,12 +373,15 @@ def _unconnected(placed: DataFrame, roots: DataFrame) -> DataFrame:
     """The rows of the shingles whose sets are in several components, with component, largest set, its component, and number of sets."""
     marked = lookup(placed.select("token", "node", "size", "pos"), roots, ["node"]).withColumn("comp", F.coalesce("root", "node")).drop("root")
     marked = materialize(marked, "marked")
-    lists = marked.groupBy("token").agg(
+    wide = marked.groupBy("token").agg(
         F.count(F.lit(1)).alias("n"), F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.max("node").alias("other"))
-    lists = materialize(lists.where("_low <> _high").select("token", "n", "other"), "lists")
+    narrow = materialize(wide.where("_low <> _high").select("token", "n", "other"), "lists")
     comps = roots.select(F.col("node").alias("other"), F.col("root").alias("other_comp"))
-    lists = materialize(lookup(lists, comps, ["other"]).withColumn("other_comp", F.coalesce("other_comp", "other")), "lists")
-    return materialize(lookup(marked, lists, ["token"]).where("n is not null"), "open")
+    lists = materialize(lookup(narrow, comps, ["other"]).withColumn("other_comp", F.coalesce("other_comp", "other")), "lists")
+    found = materialize(lookup(marked, lists, ["token"]).where("n is not null"), "open")
+    discard(marked, narrow, lists)
+    free_shuffles(placed.sparkSession)
+    return found
 
 
 def _open_pairs(rows: DataFrame, similarity: float) -> DataFrame:
@@ -423,19 +431,23 @@ def _may_be_alike(pairs: DataFrame, marked: DataFrame, similarity: float) -> Dat
     return found
 
 
-def _alike(pairs: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
+def _dealt(pairs: DataFrame) -> DataFrame:
+    """``token, x, y, a, b``: the tile of its shingle in which a pair is decided."""
+    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_size").alias("size")), F.struct(F.col("b").alias("node"), F.col("b_size").alias("size"))))
+    loads = pairs.select("token", ends.alias("end")).distinct().groupBy("token").agg(F.sum("end.size").alias("load"))
+    tiles = F.ceil(2 * F.col("load") / GROUP_HASHES)
+    tile = lambda node: F.pmod(F.xxhash64(node), F.col("tiles"))
+    dealt = pairs.join(loads.select("token", tiles.alias("tiles")), "token").select("token", tile("a").alias("x"), tile("b").alias("y"), "a", "b")
+    return materialize(dealt, "dealt")
+
+
+def _alike(dealt: DataFrame, sets: DataFrame, similarity: float) -> DataFrame:
     """The different pairs ``a, b`` whose sets have at least this Jaccard similarity.
 
     The pairs of a shingle are decided together, so a set travels once for each
     of its shingles that still has pairs, not once for each pair; where the sets
     of a shingle are too many for one task, they are cut into tiles.
     """
-    ends = F.explode(F.array(F.struct(F.col("a").alias("node"), F.col("a_size").alias("size")), F.struct(F.col("b").alias("node"), F.col("b_size").alias("size"))))
-    loads = pairs.select("token", ends.alias("end")).distinct().groupBy("token").agg(F.sum("end.size").alias("load"))
-    tiles = F.ceil(2 * F.col("load") / GROUP_HASHES)
-    tile = lambda node: F.pmod(F.xxhash64(node), F.col("tiles"))
-    dealt = pairs.join(loads.select("token", tiles.alias("tiles")), "token").select("token", tile("a").alias("x"), tile("b").alias("y"), "a", "b")
-    dealt = materialize(dealt, "dealt")
     key = ["token", "x", "y"]
     members = dealt.select(*key, F.explode(F.array("a", "b")).alias("node")).distinct().join(sets, "node").select(*key, "node", "hashes")
 
