@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -22,7 +24,8 @@ from veilframe.plans import oracle as o
 from veilframe.plans.derived import derived, derived_sql, table, texts
 from veilframe.plans.detection import WORD_RULES, _cands, as_items, messages
 from veilframe.plans.pipelines import deidentify, deidentify_shared, deidentify_with_mapping
-from veilframe.sources.mapping import checked_mapping, mapping_csv_text
+from veilframe.session import shared_folder
+from veilframe.sources.mapping import checked_mapping, csv_line, mapping_csv_text, read_mapping
 
 QUERIES: dict = {}
 SECRET = o.SECRET
@@ -267,6 +270,34 @@ def mapping_csv(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mapping_csv_text(rows)
 
 
+_file_rows = """
+    select o_orderkey, cast(floor(o_orderkey / 100000) as bigint) as file_no,
+           case when o_orderkey % 101 = 0 then ' ' when o_orderkey % 103 = 0 then 'again' else 'c' || cast(o_orderkey as string) end as code,
+           '"' || o_orderpriority || '", ' || case o_orderkey % 4 when 0 then chr(10) || 'second' when 1 then chr(13) || chr(10) || ',"' || chr(10) else 'one' end as original,
+           case o_orderkey % 4 when 0 then 1 when 1 then 2 else 0 end as breaks
+    from {orders}"""
+
+
+@query("mapping_files", f"""
+    select file_no, line_no, trim(code) as code, original, case when trim(code) = '' then 'empty_code' when rn > 1 then 'duplicate_code' end as error from (
+        select *, row_number() over (partition by file_no, trim(code) order by line_no) as rn from (
+            select *, cast(2 + coalesce(sum(1 + breaks) over (partition by file_no order by o_orderkey rows between unbounded preceding and 1 preceding), 0) as bigint) as line_no
+            from ({_file_rows.format(orders='orders')}) as f) as g) as h""")
+def mapping_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mapping files (one for 100,000 order keys) with line breaks inside fields, read back in splits: lines, codes, values and faults."""
+    rows = spark.sql(_file_rows, orders=table(spark, sf_dir, "orders"))
+    heads = rows.select("file_no", F.lit(-1).cast("long").alias("o_orderkey")).distinct().withColumn("line", F.lit("code,category,original"))
+    lines = rows.select("file_no", F.col("o_orderkey").cast("long"), csv_line(F.col("code"), F.lit("識別碼"), F.col("original")).alias("line"))
+    folder = f"{shared_folder(spark).rstrip('/')}/veilframe/mapping-files-{uuid.uuid4().hex}"
+    # A file is one hash partition's rows of its number; the number of rows in it is bounded by the keys.
+    heads.unionByName(lines).repartition("file_no").sortWithinPartitions("file_no", "o_orderkey").select("file_no", "line").write.option(
+        "lineSep", "\r\n").partitionBy("file_no").text(folder)
+    read = read_mapping(spark, folder).withColumn("scope", F.regexp_extract("file", r"file_no=(\d+)/", 1).cast("long"))
+    good, errors = checked_mapping(read)
+    held = read.select(F.col("scope").alias("file_no"), "line_no", F.trim("code").alias("code"), "original")
+    return held.join(errors.select(F.col("scope").alias("file_no"), "line_no", "error"), ["file_no", "line_no"], "left")
+
+
 # -------------------------------------------------------------------- restore
 @query("restore_roundtrip", f"select id, text as restored from {o.DOCS} as d")
 def restore_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
