@@ -41,6 +41,26 @@ def deidentify_stream(docs: DataFrame, key: str = "doc_id", rules: Iterable[Rule
     return deidentify(docs, key, rules, style, mode, overrides, secret, text)
 
 
+def redact_new_files(spark: SparkSession, source: str, folder: str, schema: str, key: str = "doc_id",
+                     rules: Iterable[Rule] | None = None, style: str = "label", mode: str = "hide",
+                     overrides: dict[str, Retention] | None = None, secret: str | None = None, text: str = "text",
+                     files: int = 1000) -> DataFrame:
+    """Redact the Parquet files of ``source`` that earlier calls with this ``folder`` haven't seen; gives all results so far.
+
+    What is there is worked off in batches of ``files`` files, then the call
+    ends. ``folder/checkpoint`` holds what was read, and the log of
+    ``folder/documents`` which output counts, so a call that follows a failed
+    one goes on with the batch that failed, and every row of ``source`` has one
+    row in the result (``key``, ``redacted``). ``key`` isn't looked at: rows that
+    repeat are all returned. A null text has a null result.
+    """
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", files).parquet(source)
+    done = deidentify_stream(stream, key, rules, style, mode, overrides, secret, text).select(key, "redacted")
+    done.writeStream.format("parquet").outputMode("append").trigger(availableNow=True).option(
+        "checkpointLocation", f"{folder}/checkpoint").start(f"{folder}/documents").awaitTermination()
+    return spark.read.schema(done.schema).parquet(f"{folder}/documents")
+
+
 def continuing_batches(folder: str, secret: str, key: str = "doc_id", rules: Iterable[Rule] | None = None,
                        mode: str = "hide", text: str = "text") -> Callable[[DataFrame, int], None]:
     """A ``foreachBatch`` function whose codes continue from batch to batch.
