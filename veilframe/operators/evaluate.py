@@ -37,7 +37,10 @@ def bag(text: Column) -> Column:
 
 
 def _bags(docs: DataFrame, key: str, text: str, into: str) -> DataFrame:
-    return docs.select(key, bag(_folded(F.col(text))).alias(into))
+    # Plain ASCII is its own compatibility form, so only the other texts go through Python.
+    other = F.coalesce(F.col(text).rlike(r"[^\x00-\x7F]"), F.lit(False))
+    return docs.where(~other).select(key, bag(F.col(text)).alias(into)).unionByName(
+        docs.where(other).select(key, bag(_folded(F.col(text))).alias(into)))
 
 
 def _counts(bag_: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql.window import Window
 
 from veilframe.functions.retention import split_for
 from veilframe.operators.detect import ITEM_COLUMNS
+from veilframe.session import materialize
 
 # Offsets per block of an interval join.
 BLOCK_CHARS = 4096
@@ -89,18 +90,20 @@ def add_manual(items: DataFrame, requests: DataFrame, docs: DataFrame, key: str,
     ``request_no`` where there is one, else of their place and category.
     """
     order = [*(["request_no"] if "request_no" in requests.columns else []), "start", "end", "category"]
-    placed = requests.join(docs.select(key, F.col(text).alias("_text")), key)
     outside = (F.col("start") < 0) | (F.col("end") > F.length("_text")) | (F.col("start") >= F.col("end"))
-    taken = overlapping(requests, items.where("active"), key).withColumn("_taken", F.lit(True))
+    value = F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start"))
+    # Texts are met once, for what lies in the spans; everything after that is decided without them.
+    placed = materialize(requests.join(docs.select(key, F.col(text).alias("_text")), key).select(
+        *[c for c in requests.columns if c != "value"], outside.alias("_outside"), F.when(~outside, value).alias("value")), "requests")
+    taken = overlapping(placed, items.where("active"), key).withColumn("_taken", F.lit(True))
     same = Window.partitionBy(key, "start", "end").orderBy(*order)
-    judged = placed.join(taken, [key, "start", "end"], "left").withColumn("_nth", F.row_number().over(same)).withColumn("reason", F.when(
-        outside, "invalid_range").when(F.col("_taken") | (F.col("_nth") > 1), "overlap"))
+    judged = materialize(placed.join(taken, [key, "start", "end"], "left").withColumn("_nth", F.row_number().over(same)).withColumn("reason", F.when(
+        F.col("_outside"), "invalid_range").when(F.col("_taken") | (F.col("_nth") > 1), "overlap")), "judged")
     free = without_conflicts(judged.where("reason is null"), key, order)
     judged = judged.join(free, [key, "start", "end"], "left").withColumn(
         "reason", F.when(F.col("reason").isNull() & ~F.col("_fits"), "overlap").otherwise(F.col("reason")))
-    value = F.substring(F.col("_text"), F.col("start") + 1, F.col("end") - F.col("start"))
     kept = split_for(F.col("value"), F.col("retention"), F.col("category"))
-    new = judged.where("reason is null").withColumn("value", value).withColumn("_split", kept).select(
+    new = judged.where("reason is null").withColumn("_split", kept).select(
         key, "start", "end", F.lit(-1).alias("rule_ord"), F.lit("manual").alias("rule_id"), "category", "value",
         F.col("_split.head").alias("head"), F.col("_split.tail").alias("tail"),
         F.lit("manual").alias("origin"), F.lit(True).alias("active"))
@@ -149,6 +152,7 @@ def rescan(fresh: DataFrame, previous: DataFrame, key: str, keep: bool = True) -
     With ``keep``, an item found again at the same place in the same category
     keeps its state (and code, if the previous table has one).
     """
+    fresh = materialize(fresh, "fresh")
     manual = previous.where("origin = 'manual'")
     hidden = overlapping(fresh, manual.where("active"), key)
     auto = auto_items(fresh).join(hidden, [key, "start", "end"], "left_anti")
