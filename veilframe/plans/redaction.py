@@ -481,6 +481,28 @@ def standard_split_query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return record_values(spark, sf_dir).withColumn("s", kept).select("id", "category", "s.head", "s.tail")
 
 
+_number_values = """
+    select o_orderkey as id, form, case when form < 5 then '生日' when form = 5 then 'SSN' when form = 6 then 'IBAN' else '識別碼' end as category, y,
+           case form when 0 then y || '-' || m || '-' || d when 1 then y || '年' || m || '月' || d || '日'
+               when 2 then '民國 ' || cast(cast(y as int) - 1911 as string) || ' 年 ' || m || ' 月 ' || d || ' 日'
+               when 3 then m || '/' || d || '/' || y when 4 then 'May ' || d || ', ' || y
+               when 5 then '123-45-' || y when 6 then 'DE' || d || ' ' || y || ' 0000' else 'K-' || cast(o_orderkey as string) end as value
+    from (select o_orderkey, cast(o_orderkey % 8 as int) as form, substr(cast(o_orderdate as string), 1, 4) as y,
+                 substr(cast(o_orderdate as string), 6, 2) as m, substr(cast(o_orderdate as string), 9, 2) as d from {orders}) as p"""
+
+
+@query("standard_split_numbers", f"""
+    select id, category, value, case form when 0 then 5 when 1 then 5 when 2 then length('民國 ' || cast(cast(y as int) - 1911 as varchar) || ' 年 ')
+               when 6 then 2 when 7 then 1 else 0 end as head,
+           case form when 3 then length('/' || y) when 4 then length(', ' || y) else 0 end as tail
+    from ({_number_values.format(orders='orders')}) as v""")
+def standard_split_numbers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The standard partial form of birth dates (five ways of writing), SSN, IBAN and identifiers of own rules."""
+    values = spark.sql(_number_values, orders=table(spark, sf_dir, "orders"))
+    kept = split_for(F.col("value"), STANDARD.column(), F.col("category"))
+    return values.withColumn("s", kept).select("id", "category", "value", "s.head", "s.tail")
+
+
 @query("retention_modes", f"""
     select id, category, mode,
         case mode when 'ends' then case when 3 < length(value) then 2 else 0 end
